@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substring_dedup
+from . import mixing, packing, simhash, sketch, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edited, after = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return sketch.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.as_text(own).alias("fingerprint"),
+        sketch.as_text(edited).alias("edited_fingerprint"),
+        sketch.likeness(own, edited).alias("near_edited"),
+        sketch.likeness(own, after).alias("near_next"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_packing, op4_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_packing, op4_simhash, op9_fingerprints, op10_mixing)}
 
 SQL = {
     "op2_substring_dedup": """
