@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing, simhash, sketch, substring_dedup
+from . import license_scan, mixing, packing, pii, simhash, sketch, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < pii.BASE)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{kind.name}") for k, kind in enumerate(pii.KINDS[: pii.BASE])),
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, edited, after = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
     return sketch.fingerprints(table(spark, sf_dir, "documents")).select(
@@ -53,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_packing, op4_simhash, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_packing, op4_simhash, op7_pii, op9_fingerprints, op10_mixing)}
 
 SQL = {
     "op2_substring_dedup": """

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import tokenhash
 from .common import width
 
-_DEALT = "bucket int, ids binary, counts binary, hashes binary, flagged boolean"
+_DEALT = "bucket int, home int, ids binary, counts binary, hashes binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
 
@@ -40,15 +40,29 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[first], order[d > np.repeat(d[first], count)]
 
 
-def _flag_rows(hashes: np.ndarray, ids: np.ndarray, picked: np.ndarray):
-    """(id, its flagged hashes as bytes) of the picked windows."""
-    picked = picked[np.argsort(ids[picked], kind="stable")]
-    for at, n in zip(*_runs(ids[picked])):
-        own = picked[at : at + n]
-        yield int(ids[own[0]]), np.unique(hashes[own]).tobytes()
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    return ((ids ^ (ids >> 17) ^ (ids >> 34)) % homes).astype(np.int32)
 
 
-def _deal(size: int, buckets: int, most: int):
+def _packed(key: np.ndarray, ids: np.ndarray, hashes: np.ndarray):
+    """For each value of ``key``, which must be in order: it, and its ids, their counts and its hashes as bytes."""
+    for at, n in zip(*_runs(key)):
+        own = ids[at : at + n]
+        first, count = _runs(own)
+        yield int(key[at]), own[first].tobytes(), count.astype(np.uint32).tobytes(), hashes[at : at + n].tobytes()
+
+
+def _flagged(hashes: np.ndarray, ids: np.ndarray, picked: np.ndarray, homes: int):
+    """The picked windows packed by the home of their document, each hash of a document once."""
+    h, d = hashes[picked], ids[picked]
+    home = _home(d, homes)
+    order = np.lexsort((h, d, home))
+    h, d, home = h[order], d[order], home[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, bool)
+    return _packed(home[new], d[new], h[new])
+
+
+def _deal(size: int, buckets: int, homes: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
 
@@ -56,24 +70,14 @@ def _deal(size: int, buckets: int, most: int):
             h, d = np.concatenate(hashes), np.concatenate(ids)
             keep, later = _later(h, d)
             keep.sort()  # by document again, so that ids come in runs
-            home = ((h[keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-            keep = keep[np.argsort(home.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
-            home.sort()
-            rows = {k: [] for k in ("bucket", "ids", "counts", "hashes", "flagged")}
-
-            def add(*row):
-                for column, value in zip(rows.values(), row):
-                    column.append(value)
-
-            for at, n in zip(*_runs(home)):
-                own = keep[at : at + n]
-                first, count = _runs(d[own])
-                add(int(home[at]), d[own][first].tobytes(), count.astype(np.uint32).tobytes(), h[own].tobytes(), False)
-            for k, (doc, own) in enumerate(_flag_rows(h, d, later)):
-                add((k * 2654435761 + doc) % buckets, np.int64(doc).tobytes(), b"", own, True)
-            return pa.RecordBatch.from_pydict(rows, schema=_schema)
-
-        _schema = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("flagged", pa.bool_())])
+            bucket = ((h[keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+            keep, bucket = keep[order], bucket[order]
+            rows = [(k, None, *rest) for k, *rest in _packed(bucket, d[keep], h[keep])]
+            rows += [(k % buckets, k, *rest) for k, *rest in _flagged(h, d, later, homes)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _schema)], schema=_schema)
+
+        _schema = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -104,41 +108,50 @@ def _deal(size: int, buckets: int, most: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    hashes, ids, out = [], [], {"doc_id": [], "hashes": []}
-    for i, c, h, flagged in zip(*(table.column(k).to_pylist() for k in ("ids", "counts", "hashes", "flagged"))):
-        if flagged:
-            out["doc_id"].append(int(np.frombuffer(i, np.int64)[0]))
-            out["hashes"].append(h)
-        else:
-            hashes.append(np.frombuffer(h, np.uint64))
-            ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)))
-    if hashes:
-        h, d = np.concatenate(hashes), np.concatenate(ids)
-        for doc, own in _flag_rows(h, d, _later(h, d)[1]):
-            out["doc_id"].append(doc)
-            out["hashes"].append(own)
-    return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())]))
+_FLAGS = pa.schema([("home", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+
+
+def _unpack(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, np.uint64), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32))
+
+
+def _meet(homes: int):
+    def run(table: pa.Table) -> pa.Table:
+        found, rows = [], []
+        for home, *packed in zip(*(table.column(k).to_pylist() for k in ("home", "ids", "counts", "hashes"))):
+            if home is None:
+                found.append(_unpack(*packed))
+            else:
+                rows.append((home, *packed))
+        if found:
+            h, d = (np.concatenate(c) for c in zip(*found))
+            rows += _flagged(h, d, _later(h, d)[1], homes)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _FLAGS)], schema=_FLAGS)
+
+    return run
 
 
 def _strip(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, marks = None, []
+        home, marks, marked = None, [], None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "removed")}
-                for own, kind, text, flags in zip(*(c.to_pylist() for c in part.columns)):
-                    if own != doc:
-                        doc, marks = own, []
-                    if kind == 0:
-                        marks.append(np.frombuffer(flags, np.uint64))
+                for where, own, text, *packed in zip(*(c.to_pylist() for c in part.columns)):
+                    if where != home:
+                        home, marks, marked = where, [], None
+                    if packed[0] is not None:
+                        marks.append(_unpack(*packed))
                         continue
+                    if marks and marked is None:
+                        h, d = (np.concatenate(c) for c in zip(*marks))
+                        order = np.argsort(d, kind="stable")
+                        marked, marks = (h[order], d[order]), []
                     words = text.encode("utf-8", "surrogatepass").split() if text is not None else []
                     n, cuts = len(words), []
-                    if marks and own is not None and n >= size:
-                        if len(marks) > 1:
-                            marks = [np.unique(np.concatenate(marks))]
-                        hit = np.flatnonzero(np.isin(tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size), marks[0]))
+                    flags = marked[0][np.searchsorted(marked[1], own, "left") : np.searchsorted(marked[1], own, "right")] if marked is not None and own is not None and n >= size else ()
+                    if len(flags):
+                        hit = np.flatnonzero(np.isin(tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size), flags))
                         if len(hit):
                             edge = np.flatnonzero(np.diff(hit) > size)
                             cuts = [(int(s), int(e)) for s, e in zip(hit[np.append(0, edge + 1)], hit[np.append(edge, len(hit) - 1)] + size)]
@@ -169,10 +182,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = width(spark)
+    homes = 4 * n + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.mapInArrow(_deal(window, 4 * n, combine), _DEALT)
-    flags = dealt.groupBy("bucket").applyInArrow(_meet, "doc_id long, hashes binary")
-    both = flags.select("doc_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "hashes").unionByName(
-        rows.select("doc_id", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("hashes"))
+    dealt = rows.mapInArrow(_deal(window, 4 * n, homes, combine), _DEALT)
+    flags = dealt.groupBy("bucket").applyInArrow(_meet(homes), "home int, ids binary, counts binary, hashes binary")
+    x = F.coalesce("doc_id", F.lit(0).cast("long"))
+    home = F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 34)), F.lit(homes)).cast("int")
+    none = F.lit(None).cast("binary")
+    both = flags.select("home", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "hashes").unionByName(
+        rows.select(home.alias("home"), "doc_id", "text", none.alias("ids"), none.alias("counts"), none.alias("hashes"))
     )
-    return both.repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_strip(window), _OUT)
+    both = both.repartition(n, "home").sortWithinPartitions("home", F.col("ids").isNull(), "doc_id")
+    return both.mapInArrow(_strip(window), _OUT)
