@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing, pii, simhash, sketch, substring_dedup
+from . import language_id, license_scan, mixing, packing, pii, quality, simhash, sketch, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(_remainder(3) != 1))
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(_remainder(4) != 2))
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return language_id.predict(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] < pii.BASE)
@@ -65,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_packing, op4_simhash, op7_pii, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_packing, op4_simhash, op6_quality, op7_pii, op8_language_id, op9_fingerprints, op10_mixing)}
 
 SQL = {
     "op2_substring_dedup": """

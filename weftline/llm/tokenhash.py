@@ -71,3 +71,29 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=total[1:])
     return mix((total[size:] - total[:n]) * down[:n])
+
+
+_CLASS = np.full(256, 3, np.uint8)  # punctuation and controls
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[48:58] = 1
+_CLASS[65:91] = _CLASS[97:123] = 2
+_CLASS[128:] = 2
+
+
+def token_hashes(text: bytes) -> np.ndarray:
+    """One hash for each run of letters (any byte of a non-ASCII character counts as one), digits or other signs."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(text, np.uint8)
+    kind = _CLASS[raw]
+    edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    end = np.append(edge[1:], len(raw))
+    own = kind[edge] > 0
+    start, end = edge[own], end[own]
+    up, down = powers(_BYTE, len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    digits = raw.astype(np.uint64)
+    digits += np.uint64(1)
+    digits *= up[: len(raw)]
+    np.cumsum(digits, out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
