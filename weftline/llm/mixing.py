@@ -80,62 +80,88 @@ def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 42) -> Dat
     return nodes.select(F.col("node").alias("shard"), F.explode("q").alias("x")).select("x.src", "shard", "x.n")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = LEVELS, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, copies, taken, shards`` and the ``carry`` columns.
+def row_keys(id_col: str, source_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes of a row's id, source and text; rows that share both are copies of one document."""
+    parts = [F.col(c).cast(t) for c, t in ((id_col, "long"), (source_col, "string"), (text_col, "string"))]
+    return [F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *reversed(parts)).alias("k2")]
 
-    ``copies`` times the document goes into the mix, once into each of ``shards``. Null text has size 0; a null source
-    is a source of its own, weighed last; null ids are documents like any other. Rows that repeat an id are drawn
-    separately. Sources of size 0 have target 0. Reruns agree: every draw is a hash of ids and ``seed``.
-    """
-    carry = carry or []
-    size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    size = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size)
+
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    size = F.coalesce(F.size(F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     src = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("src"), size.alias("size"), *(F.col(c) for c in carry))
-    rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "src", "size")), "sizes")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("src"), size.alias("size"), *row_keys(id_col, source_col, text_col))
+
 
-    sources = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+def decide(sizes: DataFrame, levels: int = LEVELS, seed: int = 42) -> DataFrame:
+    """``k1, k2, source_size, target, copies, shards`` for each distinct row of ``src, size, k1, k2``."""
+    rows = sizes.groupBy("k1", "k2", "src", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
+    sources = targets(rows.groupBy("src").agg(F.sum("words").alias("source_size"), F.count("*").alias("docs")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("passes", passes).withColumn("quota", F.col("target") - F.col("passes") * F.col("source_size"))
     sources = sources.withColumn("of", F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.floor(F.col("docs") / BLOCK_DOCS))).cast("int"))
     sources = materialise(sources, "sources")
 
-    placed = rows.join(sources, "src").withColumn("block", F.pmod("key", "of"))
-    blocks = placed.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("passes").alias("passes"))
+    placed = rows.join(sources, "src").withColumn("key", F.xxhash64(F.lit(seed), "k1", "k2")).withColumn("block", F.pmod("key", "of"))
+    placed = materialise(placed.select("k1", "k2", "key", "src", "block", "words", "size", "source_size", "target", "passes", "quota"), "placed")
+    blocks = placed.groupBy("src", "block").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"), F.first("passes").alias("passes"))
     order = F.xxhash64(F.lit(seed + 1), "src", "block")
     through = Window.partitionBy("src").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("turn", order).withColumn("sum", F.sum("words").over(through))
     start = F.col("sum") - F.col("words")
     state = F.when(F.col("sum") <= F.col("quota"), "whole").when(start < F.col("quota"), "part").otherwise("none")
-    blocks = materialise(blocks.select("src", "block", "turn", "passes", state.alias("state"), (F.col("quota") - start).alias("lack")), "blocks")
-
-    # the crossing block, document by document: a prefix of its permutation, then the document that comes nearest to what still lacks
-    crossing = placed.select("uid", "key", "src", "block", "size").join(blocks.where("state = 'part'").select("src", "block", "lack"), ["src", "block"])
-    inner = Window.partitionBy("src").orderBy("key", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = crossing.withColumn("in", F.sum("size").over(inner) <= F.col("lack"))
-    crossing = crossing.withColumn("miss", F.col("lack") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).over(Window.partitionBy("src")))
-    nearest = F.min_by(F.when(~F.col("in"), F.col("uid")), F.when(~F.col("in"), F.struct(F.abs(F.col("miss") - F.col("size")).alias("d"), F.col("key"), F.col("uid")))).over(Window.partitionBy("src"))
-    crossing = crossing.withColumn("near", nearest)
-    drawn = crossing.where("`in` OR (uid = near AND size > 0 AND size < 2 * miss)").select("uid", F.lit(1).alias("drawn"))
+    blocks = materialise(blocks.select("src", "block", "passes", state.alias("state"), (F.col("quota") - start).alias("lack")), "blocks")
+
+    # the crossing block, document by document: a prefix of its permutation up to three quarters of what lacks; then, again
+    # and again, the largest of the rest that still fit; then the one that comes nearest to what lacks
+    crossing = placed.select("k1", "k2", "key", "src", "block", "words").join(blocks.where("state = 'part'").select("src", "block", "lack"), ["src", "block"])
+    whole = Window.partitionBy("src")
+    upto = lambda *order: whole.orderBy(*order, "key", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossing = crossing.withColumn("in", F.sum("words").over(upto()) <= 0.75 * F.col("lack"))
+    miss = F.col("lack") - F.sum(F.when(F.col("in"), F.col("words")).otherwise(0)).over(whole)
+    for _ in range(3):
+        crossing = crossing.withColumn("miss", miss)
+        fits = F.when(~F.col("in") & (F.col("words") <= F.col("miss")), F.col("words"))
+        crossing = crossing.withColumn("fits", fits).withColumn("sum", F.sum("fits").over(upto(F.desc("fits"))))
+        crossing = crossing.withColumn("in", F.col("in") | (F.col("fits").isNotNull() & (F.col("sum") <= F.col("miss"))))
+    crossing = crossing.withColumn("miss", miss)
+    place = F.when(~F.col("in") & (F.col("words") > 0) & (F.col("words") < 2 * F.col("miss")), F.struct(F.abs(F.col("miss") - F.col("words")).alias("d"), "key", "k1", "k2"))
+    crossing = crossing.withColumn("place", place).withColumn("best", F.min("place").over(whole))
+    drawn = crossing.where(F.col("in") | (F.col("place") == F.col("best"))).select("k1", "k2", F.lit(1).alias("drawn"))
 
     slots = blocks.withColumn("n", F.col("passes") + F.when(F.col("state") == "none", 0).otherwise(1)).where("n > 0")
     slots = slots.select("src", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     dealt = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 2), "src", "block", "copy"), "block", "copy")
     slots = slots.withColumn("rank", F.row_number().over(dealt).cast("long"))
     quotas = shard_quotas(slots.groupBy("src").agg(F.count("*").alias("n")), levels, seed)
-    upto = F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seats = quotas.withColumn("upto", upto).where("n > 0").select("src", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("rank"))
+    through = F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seats = quotas.withColumn("upto", through).where("n > 0").select("src", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("rank"))
     homes = slots.join(seats, ["src", "rank"]).groupBy("src", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda x: x.shard).alias("seats"))
 
-    whole = blocks.join(homes, ["src", "block"], "left").select("src", "block", "state", "seats")
-    out = placed.join(whole, ["src", "block"]).join(drawn, "uid", "left")
+    known = blocks.join(homes, ["src", "block"], "left").select("src", "block", "state", "seats")
+    out = placed.join(known, ["src", "block"]).join(drawn, ["k1", "k2"], "left")
     copies = F.col("passes") + F.when(F.col("state") == "whole", 1).when(F.col("state") == "part", F.coalesce("drawn", F.lit(0))).otherwise(0)
     out = out.withColumn("copies", copies.cast("long"))
     shards = F.coalesce(F.slice("seats", F.lit(1), F.col("copies").cast("int")), F.array().cast("array<int>"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shards.alias("shards"), *carry)
+    return out.select("k1", "k2", "source_size", "target", "copies", shards.alias("shards"))
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = LEVELS, seed: int = 42) -> DataFrame:
+    """One row per input row: ``doc_id, source, size, source_size, target, copies, taken, shards``.
 
-def draw(mixed: DataFrame, columns: list[str], seed: int = 42) -> DataFrame:
-    """The mix itself: ``columns`` of each document once per shard it goes to, dealt out by shard and shuffled inside."""
-    out = mixed.select("*", F.posexplode("shards").alias("copy", "shard"))
-    return out.repartition("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(16))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), "doc_id", "copy")).select(*columns)
+    ``copies`` times the document goes into the mix, once into each of ``shards``. Null text has size 0; a null source
+    is a source of its own, weighed last; null ids are documents like any other. Rows that agree in id, source and text
+    are drawn together; rows that share an id only are separate. Sources of size 0 have target 0; an empty table gives
+    no rows. Reruns agree: every draw is a hash of a row's contents and ``seed``. Other columns are not read.
+    """
+    sizes = materialise(_sizes(docs, id_col, source_col, text_col), "sizes")
+    out = sizes.join(decide(sizes, levels, seed), ["k1", "k2"])
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards")
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = LEVELS, seed: int = 42) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, once per shard they go to, dealt out by shard and shuffled inside."""
+    decided = decide(materialise(_sizes(docs, id_col, source_col, text_col), "sizes"), levels, seed).where("copies > 0").select("k1", "k2", "shards")
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(id_col, source_col, text_col))
+    out = boxed.join(decided, ["k1", "k2"]).select("row", "k1", "k2", F.posexplode("shards").alias("copy", "shard"))
+    turn = F.xxhash64(F.lit(seed + 3), "k1", "k2", "copy")
+    return out.repartition("shard", F.pmod(turn, F.lit(16))).sortWithinPartitions("shard", turn).select("row.*")
