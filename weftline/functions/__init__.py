@@ -1 +1 @@
-
+"""Scalar functions: coercions, names, addresses, encodings, markup."""

@@ -1 +1 @@
-
+"""Operators over segments and units, as column expressions."""

@@ -1 +1 @@
-
+"""Queries and virtual corpora."""

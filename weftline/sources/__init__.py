@@ -1 +1 @@
-
+"""Reading and writing of translation-memory files."""

@@ -1 +1 @@
-
+"""Incremental reading and writing."""
