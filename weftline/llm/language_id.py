@@ -9,11 +9,11 @@ and the work grows with the text alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ HIDDEN = 8
 CORE, EDGE = 480, 16
 #: Bound of the labelled sample: documents, windows of each, bytes of a window.
 SAMPLE, WINDOWS, SPAN = 3000, 4, 96
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 class Network:

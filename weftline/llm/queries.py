@@ -88,9 +88,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
+def _license_sql() -> str:
+    """The license scan in SQL: words doubled in their spaces, so that a match takes whole words without looking around."""
+    from .license_rules import CONFIDENCE, rules
+
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    wide = lambda p: " (" + p.replace(" ?", "\0").replace("[^ ]", "\1").replace(" ", "  ").replace("\0", "(?:  )?").replace("\1", "[^ ]") + ") "
+    listed = ", ".join(f"({r.rank}, {text(r.label)}, {text(r.keyword)}, {text(wide(r.pattern))}, {r.priority}, {str(r.base).lower()}, {CONFIDENCE[r.priority]})" for r in rules())
+    return f"""
+WITH rules(rank, label, keyword, pattern, priority, base, confidence) AS (VALUES {listed}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+lines AS (SELECT doc_id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS narrow, ' ' || array_to_string(w, '  ') || ' ' AS wide FROM d),
+gated AS (SELECT doc_id, wide, r.* FROM lines JOIN rules r ON contains(narrow, keyword)),
+cut AS (SELECT *, string_split_regex(wide, pattern) AS rest, regexp_extract_all(wide, pattern) AS hit FROM gated),
+size AS (SELECT *, list_transform(rest, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS a, list_transform(hit, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS b FROM cut WHERE len(hit) > 0),
+det AS (SELECT doc_id, rank, label, priority, base, confidence, i, list_sum(a[1:i]) + coalesce(list_sum(b[1:i - 1]), 0) AS s, b[i] AS k FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM size)),
+kept AS (SELECT * FROM det h WHERE base OR NOT EXISTS (SELECT 1 FROM det e WHERE e.doc_id = h.doc_id AND NOT e.base AND e.s <= h.s AND e.s + e.k >= h.s + h.k AND e.priority <= h.priority
+  AND (e.s <> h.s OR e.k <> h.k OR e.priority < h.priority OR (e.priority = h.priority AND e.rank < h.rank)))),
+one AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS f, max(s) FILTER (WHERE base) AS l, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(confidence) AS score FROM kept GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM lines LEFT JOIN one USING (doc_id)
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_packing, op4_simhash, op5_topk, op6_quality, op7_pii, op8_language_id, op9_fingerprints, op10_mixing)}
 
 SQL = {
+    "op1_license_scan": _license_sql(),
     "op5_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
