@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, encodings, markup, names, uris
-from ..operators import normalize, text, transform, walk
+from ..operators import elements, normalize, text, transform, walk
 from ..operators.items import is_text
 from ..sources import tmx
 from . import virtual
@@ -84,6 +84,20 @@ def walk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(virtual.tags(spark, sf_dir), "page_id", walk.walk_content_filtered(F.col("segment"), lambda x: (is_text(x) & (F.length(x["text"]) > 20)) | (x["depth"] > 4), True))
 
 
+@query(f"WITH {_TREE} SELECT name AS type, count(*) AS n, count(*) FILTER (WHERE depth = 0) AS n_top FROM tree WHERE kind NOT IN ('text', 'unknown') GROUP BY name")
+def element_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attribute of every inline node, counted by value."""
+    rows = virtual.tags(spark, sf_dir).select(F.explode(walk.walk_inline_nodes(F.col("segment"), True)).alias("x"))
+    return rows.select(elements.get_attribute(F.col("x"), "type").alias("type"), F.col("x.depth").alias("d")).groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n_top"))
+
+
+@query(f"WITH {_TREE} SELECT page_id, pos, lower(regexp_extract(t, '^<([^ \\t\\n/>]+)', 1)) AS tag FROM tree WHERE kind = 'unknown'")
+def unknown_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the elements that the model keeps as bytes."""
+    rows = virtual.tags(spark, sf_dir).select("page_id", F.posexplode("segment").alias("pos", "x")).where("x.kind = 'unknown'")
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.lower(elements.get_tag(F.col("x"), "prefixed")).alias("tag"))
+
+
 @query("""
 WITH p AS (SELECT source, doc_id, k, kind, text FROM (SELECT d.source, d.doc_id, unnest([0, 1]) AS k, unnest(['quality', 'toxic']) AS kind, unnest([quality::VARCHAR, toxic::VARCHAR]) AS text FROM labels l JOIN documents d USING (doc_id))),
 props AS (SELECT source, 'prop' AS node, NULL::INTEGER AS variant_pos, (row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1)::INTEGER AS pos, kind AS name, text, NULL AS language, 0 AS step FROM p),

@@ -57,3 +57,9 @@ def write_tmx(memory: DataFrame, units: DataFrame, path: str, overrides: Mapping
     finally:
         out.close()
     fs.delete(folder, True)
+
+
+def write_elements(lines: DataFrame, path: str, opening: str, closing: str, doctype: str = "") -> None:
+    """Write a text column of markup between the tags of a root; each part file is a document."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n{doctype}{opening}'
+    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).mapInArrow(_framed(head, closing), "value string").write.text(path)
