@@ -31,11 +31,14 @@ def _matches(text: Column, rule: Column) -> Column:
 
 
 def _gates(listed: list[Rule]) -> Column:
-    by: dict[str, list[Rule]] = {}
+    """The rules by keyword, as one constant. It is written as SQL, which is parsed at once, and holds no quotes."""
+    by: dict[str, list[str]] = {}
     for r in listed:
-        by.setdefault(r.keyword, []).append(r)
-    one = lambda r: F.struct(F.lit(r.rank).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.base).alias("base"))
-    return F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*map(one, own)).alias("rules")) for k, own in by.items()))
+        row = f"named_struct('rank', {r.rank}, 'label', r'{r.label}', 'pattern', r'{r.pattern}', 'priority', {r.priority}, 'base', {str(r.base).lower()})"
+        by.setdefault(r.keyword, []).append(row)
+    if any("'" in r.keyword + r.label + r.pattern for r in listed):
+        raise ValueError("rules must not hold quotes: words do not")
+    return F.expr("array(" + ", ".join(f"named_struct('keyword', r'{k}', 'rules', array({', '.join(rows)}))" for k, rows in by.items()) + ")")
 
 
 def words_of(text: Column) -> Column:
