@@ -182,9 +182,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = width(spark)
-    homes = 4 * n + 1
+    homes = n  # rows between the passes: at most buckets x homes
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.mapInArrow(_deal(window, 4 * n, homes, combine), _DEALT)
+    dealt = rows.mapInArrow(_deal(window, 2 * n, homes, combine), _DEALT)
     flags = dealt.groupBy("bucket").applyInArrow(_meet(homes), "home int, ids binary, counts binary, hashes binary")
     x = F.coalesce("doc_id", F.lit(0).cast("long"))
     home = F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 34)), F.lit(homes)).cast("int")
