@@ -14,7 +14,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,85 +26,103 @@ CAPACITY = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+def _signs() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
 class WordEncoder:
-    """Token ids by a tokenizer file, remembered by word.
+    """Token ids by a byte-level tokenizer file, once for each distinct word.
 
     The vocabulary's pre-tokenizer never joins a word with what follows it and takes one space before it along, so a
     text whose words are set apart by single spaces or line feeds is the concatenation of its words' ids. Any other
     text goes to the tokenizer whole. The memory is bounded; forgetting costs time only.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    #: Any white space but single spaces and line feeds between words.
+    ODD = (
+        "[\\x09\\x0B-\\x0D\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+        "|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+    )
+
+    def __init__(self, path: str, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        self.merge, self.signs, self.most = self.tokenizer.model.tokenize, _signs(), most
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.odd = re.compile(r"[^\S \n]|\s\s|^\s|\s$|[\x1c-\x1f]").search
         self.split = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+").findall
 
-    def _learn(self, missing: dict[str, bytes], words: set[str], prefix: str) -> None:
-        cut = {}
-        for w in words:
-            # an apostrophe may begin a contraction, and tables of letters differ outside the Latin blocks
-            cut[w] = [prefix + w] if "'" in w or max(w, default="") > "ɏ" else self.split(prefix + w)
-        new = {p for parts in cut.values() for p in parts if p not in self.parts}
-        if len(self.parts) + len(new) > 2 * self.most:
-            self.parts.clear()
-            new = {p for parts in cut.values() for p in parts}
-        listed = list(new)
-        for p, found in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
-            self.parts[p] = self.pack(found.ids)
-        if len(missing) + len(cut) > self.most:
-            missing.clear()
-        get = self.parts.__getitem__
-        for w, parts in cut.items():
-            missing[w] = b"".join(map(get, parts))
-
     @staticmethod
     def pack(ids: list[int]) -> bytes:
         from array import array
 
         return array("I", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain: list[list[list[str]] | None] = []
-        spaced, bare = set(), set()
-        for text in texts:
-            lines = None if self.odd(text) else [line.split(" ") for line in text.split("\n")]
-            plain.append(lines)
-            for words in lines or ():
-                bare.add(words[0])
-                spaced.update(words[1:])
-        for memory, words, prefix in ((self.bare, bare, ""), (self.spaced, spaced, " ")):
-            for _ in range(2):  # once more where the memory was emptied between
-                if lack := {w for w in words if w not in memory}:
-                    self._learn(memory, lack, prefix)
-        feed = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        out = []
-        for text, lines in zip(texts, plain):
-            if lines is None:
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token: the model alone, without the pipeline around it."""
+        signs = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
+        found = self.parts[part] = self.pack([t.id for t in self.merge(signs)])
+        return found
+
+    def _word(self, word: str) -> bytes:
+        # an apostrophe may begin a contraction, and tables of letters differ outside the Latin blocks
+        if "'" in word or not word.isascii() and max(word) > "ɏ":
+            return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        get = self.parts.get
+        return b"".join([get(p) or self._part(p) for p in self.split(word)])
+
+    def _known(self, memory: dict[str, bytes], words: list[str], prefix: str) -> list[bytes]:
+        if len(self.parts) > 2 * self.most:
+            self.parts.clear()
+        found = list(map(memory.get, words))
+        if len(memory) > self.most:
+            memory.clear()
+        for k, own in enumerate(found):
+            if own is None:
+                found[k] = memory[words[k]] = self._word(prefix + words[k])
+        return found
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        odd = np.asarray(pc.match_substring_regex(texts, self.ODD))
+        plain = texts.filter(pa.array(~odd))
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct, code = words.dictionary.to_pylist(), np.asarray(words.indices)
+        ends = np.asarray(lists.offsets)
+        feed = distinct.index("\n") if "\n" in distinct else -1
+        first = np.zeros(len(code), bool)
+        first[ends[:-1][np.diff(ends) > 0]] = True
+        first[1:] |= code[:-1] == feed
+        first &= code != feed
+        heads, place = np.unique(code[first], return_inverse=True)
+        code = code.astype(np.int64)
+        code[first] = len(distinct) + place
+        ids = self._known(self.spaced, distinct, " ") + self._known(self.bare, [distinct[k] for k in heads], "")
+        if feed >= 0:
+            ids[feed] = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        table, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        row = 0
+        for k, whole in enumerate(odd):
+            if whole:
+                yield np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
                 continue
-            parts: list[bytes] = []
-            for k, words in enumerate(lines):
-                if k:
-                    parts.append(feed)
-                parts.append(bare(words[0]))
-                parts += map(spaced, words[1:])
-            out.append(b"".join(parts))
-        return out
+            own = code[ends[row] : ends[row + 1]]
+            row += 1
+            n = sizes[own]
+            upto = np.cumsum(n)
+            yield table[np.repeat(starts[own] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -116,19 +136,22 @@ def _cut(path: str, capacity: int, keep_ids: bool):
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), {k: [] for k in schema.names}
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 2560):
+                part, out = batch.slice(at, 2560), {k: [] for k in schema.names}
+                texts = pc.fill_null(part.column(1), "")
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    ids += b"\0\0\0\0"
-                    n = len(ids) // 4
+                    raw = ids.astype("<u4").tobytes() + b"\0\0\0\0"
+                    n = len(raw) // 4
                     start, piece = 0, 0
                     length = n if n <= capacity else n % capacity or capacity
                     while start < n:
-                        own = ids[4 * start : 4 * (start + length)]
+                        own = raw[4 * start : 4 * (start + length)]
                         for k, v in zip(schema.names, (doc, piece, start, length, zlib.crc32(own), own if keep_ids else None)):
                             out[k].append(v)
                         start, piece, length = start + length, piece + 1, capacity
+                    if len(out["doc_id"]) >= 512:
+                        yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        out = {k: [] for k in schema.names}
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
