@@ -66,10 +66,11 @@ def merge(*sketches: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*sketches)))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Adds ``next``, a struct of ``columns`` of the following row by descending id (nulls last, then ``columns``); the last row's is the first.
+def with_next(docs: DataFrame, id_col: str, own: str) -> DataFrame:
+    """Adds ``next``, the struct ``own`` of the following row by descending id (nulls last, then by ``own``); the last row's is the first's.
 
-    Rows are dealt out by ranges of ids; the first row of each range, one a range, closes the range above it.
+    Rows are dealt out by ranges of ids; the first row of each range, one a range, closes the range above it. Each row
+    is shuffled once.
     """
     spark = docs.sparkSession
     ranges = 4 * width(spark)
@@ -78,15 +79,15 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     where = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
     rows = docs.withColumn("range", F.when(F.col(id_col).isNull(), -1).otherwise(where))
     tops = sorted((r for r in rows.groupBy("range").agg(F.max(id_col).alias("top")).collect()), key=lambda r: -r.range)  # one row a range
-    order = [F.col(id_col).desc_nulls_last(), *map(F.col, columns)]
+    order = [F.col(id_col).desc_nulls_last(), F.col(own)]
     if not tops:
-        return rows.withColumn("next", F.struct(*columns)).drop("range")
+        return rows.withColumn("next", F.col(own)).drop("range")
     follows = F.create_map(*(F.lit(x) for k, r in enumerate(tops) for x in (r.range, tops[k - 1].range)))
     heads = rows.where(F.col(id_col).isin([r.top for r in tops if r.top is not None]) | F.col(id_col).isNull())
     heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("k = 1")
-    heads = heads.select(follows[F.col("range")].alias("range"), F.struct(*columns).alias("head"))
-    lead = F.lead(F.struct(*columns)).over(Window.partitionBy("range").orderBy(*order))
-    out = rows.withColumn("next", lead).join(heads.withColumnRenamed("range", "above"), (F.col("range") == F.col("above")) & F.col("next").isNull(), "left")
+    heads = heads.select(follows[F.col("range")].alias("above"), F.col(own).alias("head"))
+    lead = F.lead(own).over(Window.partitionBy("range").orderBy(*order))
+    out = rows.withColumn("next", lead).join(heads, (F.col("range") == F.col("above")) & F.col("next").isNull(), "left")
     return out.withColumn("next", F.coalesce("next", "head")).drop("range", "above", "head")
 
 
@@ -98,10 +99,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an id follow each other by text. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("sketch", sketch(F.col("text"), shingle, scale))
-    rows = with_next(rows, ["text", "sketch"], "doc_id")
-    n = F.length("text").cast("long")
+    rows = rows.select("doc_id", F.struct("text", sketch(F.col("text"), shingle, scale).alias("sketch")).alias("own"))
+    rows = with_next(rows, "doc_id", "own")
+    text = F.col("own.text")
+    n = F.length(text).cast("long")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.alias("n_chars"), "sketch", edited.alias("edited"), F.col("next.sketch").alias("next_sketch"))
+    edited = F.concat(F.substring(text, F.lit(1), (n - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
+    rows = rows.select("doc_id", n.alias("n_chars"), F.col("own.sketch").alias("sketch"), edited.alias("edited"), F.col("next.sketch").alias("next_sketch"))
     return rows.withColumn("edited_sketch", sketch(F.col("edited"), shingle, scale))
