@@ -360,6 +360,17 @@ def test_sketch_estimates_containment_between_unequal_texts(spark):
     assert inside > 0.99 and abs(back - 1 / 11) < 0.03 and abs(like - 1 / 11) < 0.03 and merged
 
 
+def test_likeness_of_short_texts_is_the_jaccard_index(spark):
+    texts = [f"a{k} b{k} c d e f g h{k % 3}" for k in range(40)] + ["a b", "c d", ""]
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set()
+    want = {(t, u): (len(cut(t) & cut(u)) / len(cut(t) | cut(u)) if t or u else 1.0) for t in texts for u in texts}
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sketch.sketch(F.col("t")).alias("s"), sketch.sketch(F.col("t"), scale=1 << 40).alias("none"))
+    other = made.select(F.col("t").alias("u"), F.col("s").alias("r"), F.col("none").alias("void"))
+    got = made.crossJoin(other).select("t", "u", sketch.likeness(F.col("s"), F.col("r")), sketch.likeness(F.col("none"), F.col("void"))).collect()
+    assert all(abs(like - want[t, u]) < 1e-9 for t, u, like, _ in got)
+    assert all(void == (t == u) for t, u, _, void in got)
+
+
 def test_mixing(spark, docs, clash):
     rows = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.source) for r in rows) == Counter((r.doc_id, r.source) for r in docs.collect())

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, width
 
-SHINGLE, SCALE = 5, 8
+#: By default every hash is kept: of a short text's few shingles, a fraction may be none.
+SHINGLE, SCALE = 5, 1
 _LEAST = -(1 << 63)
 
 
@@ -25,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """``struct<n, kept>``: the number of shingles, repeats included, and the sorted distinct hashes in the lowest 1/``scale`` of the range.
+    """``struct<n, whole, kept>``: the number of shingles, repeats included, a hash of their sequence, and the sorted distinct hashes in the lowest 1/``scale`` of the range.
 
     Words are set apart by ASCII white space, A-Z lower-cased; fewer words than ``shingle`` are one shingle, none are none.
     """
@@ -38,8 +39,8 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
         return F.when(F.size(own) >= shingle, every).when(F.size(own) > 0, F.array(F.xxhash64(own))).otherwise(F.array().cast("array<long>"))
 
     def kept(every: Column) -> Column:
-        low = F.filter(every, lambda h: h < F.lit(_LEAST + (1 << 64) // scale))
-        return F.struct(F.size(every).alias("n"), F.array_sort(F.array_distinct(low)).alias("kept"))
+        low = F.filter(every, lambda h: h <= F.lit(_LEAST + (1 << 64) // scale - 1)) if scale > 1 else every
+        return F.struct(F.size(every).alias("n"), F.xxhash64(every).alias("whole"), F.array_sort(F.array_distinct(low)).alias("kept"))
 
     return let(let(hashed, shingles), kept)
 
@@ -50,10 +51,10 @@ def as_text(own: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles (Jaccard); for two empty sketches 1 if their texts are as long, else 0."""
+    """Estimated share of common shingles (Jaccard); for two empty sketches 1 if their texts have the same shingles in the same order, else 0."""
     common = F.size(F.array_intersect(a.kept, b.kept))
     either = F.size(a.kept) + F.size(b.kept) - common
-    return F.when(either > 0, common / either).otherwise(F.when(a.n == b.n, 1.0).otherwise(0.0))
+    return F.when(either > 0, common / either).otherwise(F.when((a.n == b.n) & (a.whole == b.whole), 1.0).otherwise(0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -99,11 +100,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an id follow each other by text. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.struct("text", sketch(F.col("text"), shingle, scale).alias("sketch")).alias("own"))
+    rows = rows.select("doc_id", F.struct("text").alias("own"))  # sketches are made after the shuffle
     rows = with_next(rows, "doc_id", "own")
     text = F.col("own.text")
     n = F.length(text).cast("long")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), (n - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.alias("n_chars"), F.col("own.sketch").alias("sketch"), edited.alias("edited"), F.col("next.sketch").alias("next_sketch"))
-    return rows.withColumn("edited_sketch", sketch(F.col("edited"), shingle, scale))
+    rows = rows.select("doc_id", n.alias("n_chars"), text.alias("text"), edited.alias("edited"), F.col("next.text").alias("next"))
+    made = (sketch(F.col(c), shingle, scale).alias(name) for c, name in (("text", "sketch"), ("edited", "edited_sketch"), ("next", "next_sketch")))
+    return rows.select("doc_id", "n_chars", "edited", *made)
