@@ -360,6 +360,13 @@ def test_sketch_estimates_containment_between_unequal_texts(spark):
     assert inside > 0.99 and abs(back - 1 / 11) < 0.03 and abs(like - 1 / 11) < 0.03 and merged
 
 
+def test_redaction_leaves_no_tail_of_overlapping_spans(spark):
+    texts = ["at 10.0.0.4 111 1111 1111 1111 end", "pay 4111 1111 1111 1111@mail.com now", "a.b@mail.com 10.0.0.4 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert got == ["at [IP] end", "pay [CARD] now", "[EMAIL] [IP] x"]
+
+
 def test_likeness_of_short_texts_is_the_jaccard_index(spark):
     texts = [f"a{k} b{k} c d e f g h{k % 3}" for k in range(40)] + ["a b", "c d", ""]
     cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set()

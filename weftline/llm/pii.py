@@ -221,7 +221,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """The same columns; each span of the text replaced by its kind in brackets. Null text stays null. Of spans that overlap, the first is replaced."""
+    """The same columns; each span of the text replaced by its kind in brackets. Null text stays null. Spans that overlap are replaced as one, by the kind of the first."""
     model = model or fit(docs, text_col)
     text = F.col(text_col).cast("string")
     names = F.array(*(F.lit(f"[{k.name.upper()}]") for k in KINDS))
@@ -229,7 +229,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None)
     def rebuilt(spans: Column) -> Column:
         def step(s, x):
             part = F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.element_at(names, x["kind"] + 1))
-            return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(part)).alias("out")))
+            return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(part)).alias("out")))
 
         start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
         rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
