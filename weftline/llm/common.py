@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One word of the whitespace-delimited contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths of intermediate tables that still stand.
+_written: set[str] = set()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    Where both are unset, a temporary folder serves a local master, whose executors run in the driver; any other raises.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or getattr(context, "_weftline_dir", None)
     if not found:
-        found = getattr(spark.sparkContext, "_weftline_dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="weftline-")
-            spark.sparkContext._weftline_dir = found
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = context._weftline_dir = "file://" + tempfile.mkdtemp(prefix="weftline-")
     return found
 
 
@@ -30,16 +37,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_path = path
+    _written.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     path = getattr(df, "_weftline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete every intermediate table of this process but ``keep``: for when the results that read them are written."""
+    spared = {getattr(df, "_weftline_path", None) for df in keep}
+    for path in _written - spared:
+        _delete(spark, path)
 
 
 def width(spark: SparkSession, least: int = 2) -> int:
@@ -50,3 +69,15 @@ def width(spark: SparkSession, least: int = 2) -> int:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefixes of an array under an associative ``combine``, by doubling: n log n steps, and no array grows."""
+    powers = F.array(*(F.lit(1 << k) for k in range(31)))
+    step = lambda s, p: F.transform(s, lambda x, i: F.when(i >= p, combine(F.get(s, i - p), x)).otherwise(x))
+    return let(values, lambda v: F.aggregate(F.filter(powers, lambda p: p < F.size(v)), v, step))

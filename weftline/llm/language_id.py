@@ -144,24 +144,27 @@ class Network:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("windows", pa.list_(pa.binary()))])
     for batch in batches:
-        out = {"lang": [], "bytes": []}
-        for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode("utf-8", "surrogatepass")
-            rng = np.random.default_rng(doc & 0xFFFFFFFF)
-            for _ in range(WINDOWS if len(raw) > SPAN else 1):
-                at = int(rng.integers(0, max(1, len(raw) - SPAN + 1)))
-                out["lang"].append(lang)
-                out["bytes"].append((raw[at : at + SPAN] * SPAN)[:SPAN])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("bytes", pa.binary())]))
+        for first in range(0, batch.num_rows, 512):
+            part, windows = batch.slice(first, 512), []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass")
+                rng = np.random.default_rng(doc & 0xFFFFFFFF)
+                places = [int(rng.integers(0, max(1, len(raw) - SPAN + 1))) for _ in range(WINDOWS if len(raw) > SPAN else 1)]
+                windows.append([(raw[at : at + SPAN] * SPAN)[:SPAN] for at in places])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(windows, pa.list_(pa.binary()))], schema=schema)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network:
-    """A network trained on at most ``sample`` documents with a label and a letter, drawn by hash of the id; windows come from anywhere in them."""
+    """A network trained on at most ``sample`` rows with a label and a letter, drawn by hash of the id (repeated ids: by their windows); windows come from anywhere in them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = rows.join(F.broadcast(drawn), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(_windows, "lang string, bytes binary").collect()
+    drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    made = rows.join(F.broadcast(drawn), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(_windows, "doc_id long, lang string, windows array<binary>")
+    # ids may repeat, so rows are bounded as well
+    chosen = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("windows"), "lang").limit(sample)
+    found = chosen.select("lang", F.explode("windows").alias("bytes")).collect()
     found.sort(key=lambda r: (r.lang, bytes(r.bytes)))
     languages = sorted({r.lang for r in found})
     net = Network(languages)

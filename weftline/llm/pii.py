@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import let
+from .common import let, materialise, running
 
 
 class Kind(NamedTuple):
@@ -40,7 +40,7 @@ KINDS = (
     Kind("ip", r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"^(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]{0,2})){3}$", r"(?:\bip\b|host|server|address|addr|from|client)", r"(?:version|release|section|chapter|\bv)"),
     Kind("card", r"[0-9](?:[ -]?[0-9]){11}", r"[0-9](?:[ -]?[0-9])++", r"^(?:4|5[1-5]|2[2-7]|3[47]|6)[0-9 -]+$", r"(?:card|visa|master|amex|credit|debit|karte|carte|tarjeta)", r"(?:order|isbn|serial|tracking|part|invoice)"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+[1-9][0-9]{0,2}[ (.-]", r"(?:phone|tel|call|mobile|fax|cell|whatsapp|anruf)", r"(?:sum|plus|score|offset)"),
-    Kind("secret", r"(?i)(?:token|secret|passw|passwd|api.?key|access.?key|private.?key)", r"(?i)(?:\b(?:api|access|private|auth|secret)?[ _-]?(?:token|secret|password|passwd|key))[ ]?[:=][ ]?[\x22']?[A-Za-z0-9+/_=-]{12,}[\x22']?", r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}[\x22']?$", r"(?:login|account|credential|config|export|set)", r"(?:example|placeholder|your|xxxx)"),
+    Kind("secret", r"(?i)(?:token|secret|passw|passwd|api.?key|access.?key|private.?key)", r"(?i)\b(?:(?:api|access|private|auth|secret)[ _-]?)?(?:token|secret|password|passwd|key)[ ]?[:=][ ]?[\x22']?[A-Za-z0-9+/_=-]{12,}[\x22']?", r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}[\x22']?$", r"(?:login|account|credential|config|export|set)", r"(?:example|placeholder|your|xxxx)"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"(?:ssn|social|security)", r"(?:part|serial|order|code)"),
     Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^(?:AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)[0-9]{2}", r"(?:iban|account|bank|konto|cuenta|compte)", r"(?:part|serial|order|code)"),
     Kind("mac", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])", r"[0-9]", r"(?:mac|ether|hardware|device|wlan|wifi)", r"(?:hash|finger|digest)"),
@@ -53,22 +53,18 @@ CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55
 _CANDIDATE = "array<struct<kind:int,start:long,end:long,valid:boolean,v0:int,v1:int,v2:int,v3:int,v4:int,size:int,digits:int>>"
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """Each match with its place in code points, the forty characters before and the one after it."""
+def _places(pieces: Column, found: Column) -> Column:
+    """Each match, from the matches and the pieces between them, with its place in code points, the forty characters before and the one after it."""
 
-    def fold(pieces: Column, found: Column) -> Column:
-        rows = F.zip_with(found, F.slice(F.arrays_zip(pieces.alias("p"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q")), F.lit(1), F.size(found)), lambda m, x: F.struct(m.alias("m"), x["p"].alias("p"), x["q"].alias("q")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,text:string,before:string,after:string>>").alias("out"))
+    def one(ends: Column):
+        def own(m: Column, k: Column) -> Column:
+            last = F.get(ends, k)
+            return F.struct((last - F.length(m)).alias("start"), last.alias("end"), m.alias("text"), F.right(F.get(pieces, k), F.lit(40)).alias("before"), F.left(F.get(pieces, k + 1), F.lit(1)).alias("after"))
 
-        def step(s, x):
-            first = s["at"] + F.length(x["p"])
-            last = first + F.length(x["m"])
-            own = F.struct(first.alias("start"), last.alias("end"), x["m"].alias("text"), F.right(x["p"], F.lit(40)).alias("before"), F.left(x["q"], F.lit(1)).alias("after"))
-            return F.struct(last.alias("at"), F.concat(s["out"], F.array(own)).alias("out"))
+        return own
 
-        return F.aggregate(rows, start, step, lambda s: s["out"])
-
-    return let(F.split(text, pattern, -1), lambda pieces: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: fold(pieces, found)))
+    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
+    return let(running(lengths, lambda x, y: x + y), lambda ends: F.transform(found, one(ends)))
 
 
 def _digits(text: Column) -> Column:
@@ -83,42 +79,52 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
-def _valid(kind: int, text: Column) -> Column:
+def _by_kind(kind: Column, values: dict[int, Column], otherwise: Column) -> Column:
+    """The value of a kind; only that one is computed."""
+    (first, value), *rest = values.items()
+    out = F.when(kind == first, value)
+    for k, value in rest:
+        out = out.when(kind == k, value)
+    return out.otherwise(otherwise)
+
+
+def _valid(kind: Column, text: Column) -> Column:
     """The contract's test of a base match; other kinds have none."""
-    if kind == 1:
-        return text.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
-    if kind == 2:
-        return let(_digits(text), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
-    if kind == 3:
-        return F.length(_digits(text)).between(9, 15)
-    return F.lit(True)
+    digits = _digits(text)
+    tests = {
+        1: text.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
+        2: let(digits, lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False)),
+        3: F.length(digits).between(9, 15),
+    }
+    return _by_kind(kind, tests, F.lit(True))
 
 
-def _votes(kind: int, x: Column) -> list[Column]:
+def _votes(kind: Column, x: Column) -> list[Column]:
     """1 for, -1 against, 0 no opinion: form, gazetteer, context, edges, variety."""
-    k, text, before = KINDS[kind], x["text"], F.lower(x["before"])
+    text, before, no = x["text"], F.lower(x["before"]), F.lit(False)
     known = {
         0: F.lower(F.regexp_extract(text, r"\.([A-Za-z0-9-]+)$", 1)).isin(DOMAINS.split()),
         1: text.rlike(r"^(?:10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."),
         2: _digits(text).rlike(r"^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"),
         3: text.rlike(rf"^\+(?:{'|'.join(CALLING.split())})"),
-        4: text.rlike(r"(?i)^(?:api|access|private|auth|secret)?[ _-]?(?:token|secret|password|passwd|key)"),
-    }.get(kind, F.lit(False))
+        4: text.rlike(r"(?i)^(?:(?:api|access|private|auth|secret)[ _-]?)?(?:token|secret|password|passwd|key)"),
+    }
+    said = lambda which: _by_kind(kind, {k: before.rlike(getattr(own, which)) for k, own in enumerate(KINDS)}, no)
     return [
-        F.when(text.rlike(k.strict), 1).otherwise(-1),
-        F.when(known, 1).otherwise(0),
-        F.when(before.rlike(k.before), 1).when(before.rlike(k.against), -1).otherwise(0),
+        F.when(_by_kind(kind, {k: text.rlike(own.strict) for k, own in enumerate(KINDS)}, no), 1).otherwise(-1),
+        F.when(_by_kind(kind, known, no), 1).otherwise(0),
+        F.when(said("before"), 1).when(said("against"), -1).otherwise(0),
         F.when(before.rlike(r"[0-9A-Za-z]$") | x["after"].rlike("[0-9A-Za-z]"), -1).otherwise(1),
         F.when(_digits(text).rlike(r"^([0-9])\1{5,}$"), -1).otherwise(0),
     ]
 
 
-def _described(kind: int):
+def _described(kind: Column):
     def one(x: Column) -> Column:
         n, d = F.length(x["text"]), F.length(_digits(x["text"]))
         votes = [v.cast("int").alias(f"v{j}") for j, v in enumerate(_votes(kind, x))]
         size = F.when(n < 12, 0).when(n < 20, 1).when(n < 40, 2).otherwise(3)
-        place = (F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _valid(kind, x["text"]).alias("valid"))
+        place = (kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _valid(kind, x["text"]).alias("valid"))
         return F.struct(*place, *votes, size.alias("size"), F.floor(d * 3 / n).cast("int").alias("digits"))
 
     return one
@@ -126,11 +132,13 @@ def _described(kind: int):
 
 def candidates(text: Column) -> Column:
     """Every proposed span of a text, by kind, with its votes and features."""
-    found = []
+    hits = []
     for k, kind in enumerate(KINDS):
         gate = F.contains(text, F.lit(kind.gate)) if kind.gate == "@" else text.rlike(kind.gate)
-        found.append(F.when(gate, F.transform(_places(text, kind.pattern), _described(k))).otherwise(F.array().cast(_CANDIDATE)).cast(_CANDIDATE))
-    return F.concat(*found)
+        cut = F.struct(F.lit(k).alias("kind"), F.split(text, kind.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"))
+        hits.append(F.when(gate, cut))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return F.flatten(F.transform(found, lambda h: F.transform(_places(h["pieces"], h["found"]), _described(h["kind"])))).cast(_CANDIDATE)
 
 
 _FEATURES = ("kind", "v0", "v1", "v2", "v3", "v4", "size", "digits")
@@ -183,35 +191,77 @@ def estimate(patterns: list[tuple[dict[str, int], int]], rounds: int = 25, steps
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The model of all candidates of all documents."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = docs.select(F.explode(candidates(text)).alias("c")).groupBy(*(F.col(f"c.{f}").alias(f) for f in _FEATURES), F.col("c.valid").alias("valid")).count()
+    return _fitted(docs.select(candidates(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("every")))
+
+
+def _fitted(rows: DataFrame) -> Model:
+    """The model of rows with their candidates in ``every``."""
+    counted = rows.select(F.explode("every").alias("c")).groupBy(*(F.col(f"c.{f}").alias(f) for f in _FEATURES), F.col("c.valid").alias("valid")).count()
     rows = counted.orderBy(*_FEATURES, "valid").collect()  # bounded by the number of patterns
     return estimate([({f: r[f] if f != "v0" or r["valid"] else -1 for f in _FEATURES}, r["count"]) for r in rows])
 
 
+def _marked(rows: DataFrame, model: Model | None) -> tuple[DataFrame, Model]:
+    """Rows with their candidates, and the model; where it must be fitted first, the candidates are written once and read twice."""
+    if model is None:
+        rows = materialise(rows, "candidates")
+        model = _fitted(rows)
+    return rows, model
+
+
+def _blocked(base: Column, extra: Column) -> Column:
+    """The extra spans that overlap neither a base span nor a proposed extra span of an earlier kind.
+
+    Starts of all spans and ends of the extra ones are sorted together; a running maximum, by kind, of the ends of the
+    spans begun so far tells at each extra span's end whether one of them reaches beyond its start.
+    """
+    levels = range(BASE - 1, len(KINDS))
+    long = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x
+
+    def event(place, opens, x, own):
+        reach = (F.when(own == k, x["end"]).otherwise(long(-1)).alias(f"r{k}") if opens else long(-1).alias(f"r{k}") for k in levels)
+        return F.struct(place.alias("at"), F.lit(int(opens)).alias("opens"), own.cast("int").alias("kind"), x["start"].alias("start"), F.struct(*reach).alias("reach"))
+
+    begun = F.concat(F.transform(base, lambda x: event(x["start"], True, x, F.lit(BASE - 1))), F.transform(extra, lambda x: event(x["start"], True, x, x["kind"])))
+    events = F.array_sort(F.concat(begun, F.transform(extra, lambda x: event(x["end"], False, x, x["kind"]))))
+
+    def clear(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.struct(*(F.greatest(a[f"r{k}"], b[f"r{k}"]).alias(f"r{k}") for k in levels)))
+
+        def free(e: Column, r: Column) -> Column:
+            before = F.greatest(*(F.when(e["kind"] > k, r[f"r{k}"]).otherwise(long(-1)) for k in levels))
+            return F.when((e["opens"] == 0) & (before <= e["start"]), F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["at"].alias("end")))
+
+        return F.filter(F.zip_with(events, reach, free), lambda x: x.isNotNull())
+
+    return let(events, clear)
+
+
 def _accepted(every: Column, model: Model) -> Column:
     """Base spans that hold, and the spans beyond them that the classifier takes and that overlap no other."""
     weight = lambda f, x: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for (g, value), w in sorted(model.weights.items()) if g == f for v in (value, w))), x), F.lit(0.0)) if any(g == f for g, _ in model.weights) else F.lit(0.0)
     score = lambda x: sum((weight(f, x[f]) for f in _FEATURES), F.lit(model.bias))
+    span = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
-    def choose(base: Column) -> Column:
-        extra = F.filter(every, lambda x: (x["kind"] >= BASE) & (score(x) >= 0) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        apart = let(extra, lambda e: F.filter(e, lambda x: ~F.exists(e, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]) & ((o["kind"] < x["kind"]) | ((o["kind"] == x["kind"]) & (o["start"] < x["start"]))))))
-        return F.array_sort(F.transform(F.concat(base, apart), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    def choose(base: Column, extra: Column) -> Column:
+        none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+        return F.array_sort(F.concat(F.transform(base, span), F.when(F.size(extra) > 0, _blocked(base, extra)).otherwise(none)))
 
-    return let(F.filter(every, lambda x: (x["kind"] < BASE) & x["valid"]), choose)
+    extra = F.filter(every, lambda x: (x["kind"] >= BASE) & (score(x) >= 0))
+    return let(F.filter(every, lambda x: (x["kind"] < BASE) & x["valid"]), lambda base: let(extra, lambda own: choose(base, own)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id``, ``spans`` (start, kind, end; sorted) and the ``carry`` columns.
 
     Places count code points, ``end`` is exclusive. The model is fitted on ``docs`` unless given. Null text is empty and
-    has no spans; null ids and repeated rows are treated like any other. No columns but those named are read.
+    has no spans; null ids and repeated rows are treated like any other. No columns but those named are read. Work grows
+    with the text and, but for a logarithm, with its matches.
     """
-    model = model or fit(docs, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), candidates(text).alias("every"), *(F.col(c) for c in carry or ()))
-    return rows.select("doc_id", let(F.col("every"), lambda every: _accepted(every, model)).alias("spans"), *(carry or ()))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), candidates(text).alias("every"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry or ())).alias("row"))
+    rows, model = _marked(rows, model)
+    return rows.select("doc_id", _accepted(F.col("every"), model).alias("spans"), *(F.col(f"row.`{c}`").alias(c) for c in carry or ()))
 
 
 def listed(spans: Column) -> Column:
@@ -220,20 +270,44 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 
 
+#: Code points of a block that a text is cut into, so that a place in it is found without passing the whole text.
+_BLOCK = 256
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut into blocks."""
+    a, b = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+    part = lambda block, x, n: F.substring(F.coalesce(F.get(blocks, block), F.lit("")), x.cast("int"), n.cast("int"))
+    inner = F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    return F.when(a == b, part(a, start % _BLOCK + 1, end - start)).otherwise(F.concat(part(a, start % _BLOCK + 1, F.lit(_BLOCK)), inner, part(b, F.lit(1), end % _BLOCK)))
+
+
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """The same columns; each span of the text replaced by its kind in brackets. Null text stays null. Spans that overlap are replaced as one, by the kind of the first."""
-    model = model or fit(docs, text_col)
-    text = F.col(text_col).cast("string")
     names = F.array(*(F.lit(f"[{k.name.upper()}]") for k in KINDS))
+    own = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("body"), candidates(F.coalesce(own, F.lit(""))).alias("every"))
+    if model is None:
+        rows, model = _marked(rows.drop("body"), None)
+        rows = rows.withColumn("body", F.col(f"row.`{text_col}`").cast("string"))
+    text = F.col("body")
 
     def rebuilt(spans: Column) -> Column:
-        def step(s, x):
-            part = F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.element_at(names, x["kind"] + 1))
-            return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(part)).alias("out")))
+        reach = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+        def written(reach: Column, blocks: Column) -> Column:
+            firsts = F.filter(F.transform(spans, lambda x, k: F.when((k == 0) | (x["start"] >= F.get(reach, k - 1)), k)), lambda k: k.isNotNull())
+
+            def joined(firsts: Column) -> Column:
+                before = lambda k: F.when(k > 0, F.get(reach, k - 1)).otherwise(F.lit(0).cast("long"))
+                parts = F.transform(firsts, lambda k: F.concat(_between(blocks, before(k), F.get(spans, k)["start"]), F.element_at(names, F.get(spans, k)["kind"] + 1)))
+                return F.concat(F.array_join(parts, ""), _between(blocks, F.element_at(reach, -1), F.length(text).cast("long")))
+
+            return let(firsts, joined)
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-        rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+        return F.when(F.size(spans) > 0, let(reach, lambda r: let(blocks, lambda b: written(r, b)))).otherwise(text)
 
-    clean = let(let(candidates(text), lambda every: _accepted(every, model)), rebuilt)
-    return docs.withColumn(text_col, F.when(text.isNotNull(), clean))
+    clean = let(_accepted(F.col("every"), model), rebuilt)
+    out = rows.select("row", F.when(text.isNotNull(), clean).alias("clean"))
+    return out.select(*((F.col("clean") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

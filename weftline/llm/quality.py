@@ -61,13 +61,15 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model of at most ``sample`` labelled documents (whole texts); documents labelled both ways or with null are left out."""
+    """The model of at most ``sample`` labelled rows (whole texts), repeated ids included; documents labelled both ways or with null are left out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` rows
-    rows = chosen.mapInArrow(_featurise, "doc_id long, index binary, value binary, label int").collect()
+    chosen = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` ids
+    made = chosen.mapInArrow(_featurise, "doc_id long, index binary, value binary, label int")
+    # ids may repeat, so rows are bounded as well
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "index", "value").limit(sample).collect()
     rows.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) & ((1 << 64) - 1), bytes(r["index"])))  # a fixed shuffle
     return follow_the_leader([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in rows])
 

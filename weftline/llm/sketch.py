@@ -8,23 +8,16 @@ unequal length. Only DataFrame operations are used.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, width
+from .common import ascii_lower, let, width
 
 #: By default every hash is kept: of a short text's few shingles, a fraction may be none.
 SHINGLE, SCALE = 5, 1
 _LEAST = -(1 << 63)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """``struct<n, whole, kept>``: the number of shingles, repeats included, a hash of their sequence, and the sorted distinct hashes in the lowest 1/``scale`` of the range.
 
@@ -67,29 +60,47 @@ def merge(*sketches: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*sketches)))
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts lie below the value, by bisection."""
+    listed, steps = F.array(*map(F.lit, cuts)), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, n: F.when(F.get(listed, at + n - 1) < value, at + n).otherwise(at))
+
+
 def with_next(docs: DataFrame, id_col: str, own: str) -> DataFrame:
-    """Adds ``next``, the struct ``own`` of the following row by descending id (nulls last, then by ``own``); the last row's is the first's.
+    """Adds ``next``, the struct ``own`` of the following row by descending id (nulls last; of equal ids by hash of ``own``, then by it); the last row's is the first's.
 
-    Rows are dealt out by ranges of ids; the first row of each range, one a range, closes the range above it. Each row
-    is shuffled once.
+    Rows are dealt out by ranges of that order, cut by quantiles of the ids; an id that many quantiles fall on, or null,
+    is cut by its hashes. The first row of each range closes the range before it: of these the driver sees one id and
+    hash a range, four ranges a partition. Each row is shuffled once.
     """
     spark = docs.sparkSession
     ranges = 4 * width(spark)
-    cuts = docs.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
-    where = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
-    rows = docs.withColumn("range", F.when(F.col(id_col).isNull(), -1).otherwise(where))
-    tops = sorted((r for r in rows.groupBy("range").agg(F.max(id_col).alias("top")).collect()), key=lambda r: -r.range)  # one row a range
-    order = [F.col(id_col).desc_nulls_last(), F.col(own)]
+    got, rows_, nulls = docs.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 10 * ranges), F.count("*"), F.count_if(F.col(id_col).isNull())).first()
+    found = sorted(got or [])
+    cuts = sorted(set(found))
+    folds = [found.count(c) for c in cuts] if len(cuts) < len(found) else [1] * len(cuts)
+    blank = 1 + nulls * ranges // max(1, rows_)
+    hashed = F.xxhash64(own)
+    fold = lambda n: F.least(n - 1, F.floor((hashed / F.lit(float(1 << 64)) + 0.5) * n)).cast("long")
+    side = F.lit(1 << 32)
+    place = F.lit(0).cast("long")
+    if cuts:
+        at = _below(cuts, F.col(id_col))
+        top, n = F.get(F.array(*map(F.lit, cuts)), at), F.get(F.array(*map(F.lit, folds)), at)
+        own_fold = F.when(F.col(id_col) == top, fold(n)).otherwise(n) if max(folds) > 1 else F.lit(0)
+        place = (F.lit(len(cuts)) - at).cast("long") * side + F.coalesce(own_fold.cast("long"), F.lit(0).cast("long"))
+    place = F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1).cast("long") * side + fold(F.lit(blank))).otherwise(place)
+    rows = docs.select("*", place.alias("place"), hashed.alias("hash"))
+    tops = rows.select("place", F.struct((-F.col(id_col)).alias("below"), "hash").alias("key")).groupBy("place").agg(F.min("key").alias("key")).collect()
     if not tops:
-        return rows.withColumn("next", F.col(own)).drop("range")
-    follows = F.create_map(*(F.lit(x) for k, r in enumerate(tops) for x in (r.range, tops[k - 1].range)))
-    heads = rows.where(F.col(id_col).isin([r.top for r in tops if r.top is not None]) | F.col(id_col).isNull())
-    heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("k = 1")
-    heads = heads.select(follows[F.col("range")].alias("above"), F.col(own).alias("head"))
-    lead = F.lead(own).over(Window.partitionBy("range").orderBy(*order))
-    out = rows.withColumn("next", lead).join(heads, (F.col("range") == F.col("above")) & F.col("next").isNull(), "left")
-    return out.withColumn("next", F.coalesce("next", "head")).drop("range", "above", "head")
+        return rows.withColumn("next", F.col(own)).drop("place", "hash")
+    tops.sort(key=lambda r: r.place)
+    heads = spark.createDataFrame([(r.place, r.key.below, r.key.hash, tops[k - 1].place) for k, r in enumerate(tops)], "place long, below long, hash long, above long")
+    joined = rows.withColumn("below", -F.col(id_col)).join(F.broadcast(heads.withColumnsRenamed({"below": "least"})), ["place", "hash"])  # one row a range
+    heads = joined.where(F.col("below").eqNullSafe(F.col("least"))).groupBy("above").agg(F.min(own).alias("head"))
+    lead = F.lead(own).over(Window.partitionBy("place").orderBy(F.col(id_col).desc_nulls_last(), "hash", own))
+    out = rows.withColumn("next", lead).join(heads, (F.col("place") == F.col("above")) & F.col("next").isNull(), "left")
+    return out.withColumn("next", F.coalesce("next", "head")).drop("place", "hash", "above", "head")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -97,7 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``edited`` is the text whose last half (rounded down) is replaced by as many code points, or all, of the next
     document by descending id; after the last comes the first. Null text is empty. Null ids come last. Rows that repeat
-    an id follow each other by text. Other columns are not read.
+    an id follow each other by hash of the text. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.struct("text").alias("own"))  # sketches are made after the shuffle
