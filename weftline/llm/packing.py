@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, width
 
 CAPACITY = 2048
+#: Pieces of a range, about: what a task keeps waiting, however many pieces there are.
+RANGE = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -38,7 +40,8 @@ class WordEncoder:
 
     The vocabulary's pre-tokenizer never joins a word with what follows it and takes one space before it along, so a
     text whose words are set apart by single spaces or line feeds is the concatenation of its words' ids. Any other
-    text goes to the tokenizer whole. The memory is bounded; forgetting costs time only.
+    text, and one that holds a token added to the vocabulary, goes to the tokenizer whole. The memory is bounded;
+    forgetting costs time only.
     """
 
     #: Any white space but single spaces and line feeds between words.
@@ -47,7 +50,7 @@ class WordEncoder:
         "|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
     )
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, ordinary: bool = False, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,7 +58,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([self.ODD, *(regex.escape(t, special_only=True) for t in added)])
         self.merge, self.signs, self.most = self.tokenizer.model.tokenize, _signs(), most
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -94,7 +99,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
-        odd = np.asarray(pc.match_substring_regex(texts, self.ODD))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         plain = texts.filter(pa.array(~odd))
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
         words = lists.flatten().dictionary_encode()
@@ -125,16 +130,16 @@ class WordEncoder:
             yield table[np.repeat(starts[own] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _cut(path: str, capacity: int, keep_ids: bool):
+def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        if (path, ordinary) not in _encoders:
+            _encoders[path, ordinary] = WordEncoder(path, ordinary)
+        encoder = _encoders[path, ordinary]
         for batch in batches:
             for at in range(0, batch.num_rows, 2560):
                 part, out = batch.slice(at, 2560), {k: [] for k in schema.names}
@@ -157,13 +162,14 @@ def _cut(path: str, capacity: int, keep_ids: bool):
     return run
 
 
-def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
     """Pieces of each document: its ids and a closing id 0, cut into ``capacity`` ids (the first piece takes the remainder) only where longer.
 
-    ``path`` names the tokenizer file, which must be on every executor. Null text counts as empty.
+    ``path`` names the tokenizer file, which must be on every executor. Null text counts as empty. The strings of special
+    tokens in a text become their ids, as the tokenizer does by default; with ``ordinary`` they are text like any other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(path, capacity, keep_ids), _PIECES)
+    return rows.mapInArrow(_cut(path, capacity, keep_ids, ordinary), _PIECES)
 
 
 _SWEPT = "tag string, range int, rank long, id long, size long, home long, at long"
@@ -248,10 +254,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     whole = pieces.where(F.col("length") == capacity).select("uid", F.col("uid").alias("home"), F.lit(0).cast("long").alias("at"))
     state = pieces.where(F.col("length") < capacity).select(F.lit(False).alias("gap"), F.col("uid").alias("id"), F.col("length").alias("size"))
-    done, old = [whole], []
+    done = [whole]
     left = state.count()
     while left:
-        n = max(2, min(width(spark), -(-left // 8000)))
+        n = max(2, min(width(spark), -(-left // 8000)), left // RANGE)
         sorted_ = state.repartitionByRange(n, "size", "gap", "id").sortWithinPartitions("size", "gap", "id")
         swept = materialise(sorted_.mapInArrow(_sweep(capacity), _SWEPT), "swept")
         is_ = lambda tag: F.col("tag") == tag
@@ -305,20 +311,19 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         state = after.where(F.col("tag") != "A").select(is_("G").alias("gap"), "id", "size")
         left = after.where(is_("I")).count()
         discard(swept)
-        old.append(after)
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
     return placed
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``; no sequence is longer than ``capacity``.
 
     Null text counts as empty (one id). Repeated rows and null ids are packed like any other rows. Ties in length are
     broken by row. An empty table gives no rows. Other columns are not read.
     """
-    pieces = tokenise(docs, path, capacity, keep_ids, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    pieces = tokenise(docs, path, capacity, keep_ids, id_col, text_col, ordinary).withColumn("uid", F.monotonically_increasing_id())
     pieces = materialise(pieces, "pieces")
     placed = place(pieces.select("uid", "length"), capacity)
     return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "ids", F.col("home").alias("sequence_id"), F.col("at").alias("offset"))
