@@ -195,6 +195,42 @@ def test_pii_on_long_runs(spark):
     assert [len(rows[k]) for k in range(5)] == [0, 0, 0, 1, 1]
 
 
+def test_pii_work_grows_with_the_matches_alone(spark):
+    import time
+
+    df = spark.createDataFrame([(0, "12345 a " * 125_000), (1, "1.2.3.4 x " * 20_000), (2, "token=abcdefghijkl1234 " * 5_000)], "doc_id long, text string")
+    start = time.perf_counter()
+    model = pii.Model({}, {}, 0.0)
+    rows = {r.doc_id: r.spans for r in pii.find(df, model=model).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(df, model=model).collect()}
+    assert time.perf_counter() - start < 60
+    assert [len(rows[k]) for k in range(3)] == [0, 20_000, 5_000]
+    assert [s.start for s in rows[1]] == list(range(0, 200_000, 10)) and clean[1] == "[IP] x " * 20_000 and clean[2] == "[SECRET] " * 5_000
+
+
+def test_kinds_beyond_the_base_are_found_where_planted(spark):
+    planted = {"ssn": "her social security number is 078-05-1120 on file", "iban": "please pay to the bank account DE89370400440532013000 today", "mac": "the device has mac 00:1A:2B:3C:4D:5E on wlan", "local_phone": "call my phone 415-555-2671 tonight", "secret": "set api_key = 'a8f5f167f44f4964e6c998dee827110c' in config"}
+    other = ["part order code 123-45-67890 shipped", "nothing to see here", "release 1.2.3 of chapter 4"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*planted.values(), *other] * 40)], "doc_id long, text string")
+    got = Counter()
+    for r in pii.find(df).collect():
+        got[r.doc_id % 8, tuple(pii.KINDS[s.kind].name for s in r.spans)] += 1
+    assert got == Counter({**{(k, (name,)): 40 for k, name in enumerate(planted)}, **{(k, ()): 40 for k in (5, 6, 7)}})
+
+
+def test_overlapping_spans_beyond_the_base(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(60):
+        spans = [(rng.randrange(40), rng.randrange(pii.BASE - 1, len(pii.KINDS))) for _ in range(rng.randint(0, 9))]
+        rows.append([(a, k, a + rng.randint(1, 8)) for a, k in {s[1]: s for s in spans}.values()])
+    df = spark.createDataFrame([(k, [r for r in row if r[1] < pii.BASE], [r for r in row if r[1] >= pii.BASE]) for k, row in enumerate(rows)], "id int, base array<struct<start:long,kind:int,end:long>>, extra array<struct<start:long,kind:int,end:long>>")
+    for r in df.select("id", pii._blocked(F.col("base"), F.col("extra")).alias("kept")).collect():
+        meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+        want = [x for x in rows[r.id] if x[1] >= pii.BASE and not any(meets(x, o) and o[1] < x[1] for o in rows[r.id])]
+        assert sorted(tuple(x) for x in r.kept) == sorted(want)
+
+
 def test_em_prefers_the_labelers_that_agree():
     votes = lambda *v: {"kind": 0, **{f"v{k}": x for k, x in enumerate(v)}, "size": 0, "digits": 0}
     model = pii.estimate([(votes(1, 1, 1, 1, -1), 50), (votes(-1, -1, -1, -1, -1), 50), (votes(1, 1, 1, 1, 1), 5), (votes(-1, -1, -1, -1, 1), 5)])
@@ -207,8 +243,7 @@ def test_packing(spark, docs, clash):
 
     path = public.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["  two  spaces", "tab\there", "don't can't", "naïve 12½ 漢字\nか", " lead", "trail ", "a\n\nb", "<|endoftext|>"]
+    odd = ["a <|endoftext|> b", "  two  spaces", "tab\there", "don't can't", "naïve 12½ 漢字\nか", " lead", "trail ", "a\n\nb", "<|endoftext|>"]
     df = docs.unionByName(spark.createDataFrame([(200 + k, x, "en", "s", 1) for k, x in enumerate(odd)], DOCS))
     texts = defaultdict(list)
     for r in df.collect():
@@ -291,6 +326,16 @@ def test_quality(spark, clash):
     assert {r.score for r in quality.score(df, empty).collect()} == {0.5}
 
 
+def test_fits_are_bounded_by_rows_where_ids_repeat(spark, monkeypatch):
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the text number "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    seen = []
+    monkeypatch.setattr(quality, "follow_the_leader", lambda rows: seen.append(len(rows)))
+    quality.fit(df, spark.createDataFrame([(7, 1)], "doc_id long, quality int"), sample=50)
+    monkeypatch.setattr(language_id.Network, "train", lambda self, text, label: seen.append(len(text)))
+    language_id.fit(df, sample=50)
+    assert seen == [50, 50]
+
+
 def test_features_are_of_the_whole_text():
     index, value = quality.features("a b " * 50_000 + "last")
     other, _ = quality.features("a b " * 50_000 + "first")
@@ -335,7 +380,8 @@ def test_language_id(spark, clash):
 
 
 def test_sketches(spark, docs, clash):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.struct(F.coalesce("text", F.lit("")))).alias("h")).collect()
+    rows = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
     want = Counter()
     for k, (d, t) in enumerate(rows):
         after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
@@ -352,6 +398,16 @@ def test_sketches(spark, docs, clash):
     assert sketch.fingerprints(one).first().next_sketch == sketch.fingerprints(one).first().sketch
 
 
+def test_next_document_where_one_id_or_null_holds_most_rows(spark):
+    rows = [(k if k % 3 else 500 if k % 2 else None, f"t{k} " * (k % 4)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.select("doc_id", "text", F.xxhash64(F.struct("text")).alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+    want = Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    out = sketch.with_next(df.select("doc_id", F.struct("text").alias("own")), "doc_id", "own")
+    assert Counter((r.doc_id, r.own.text, r.next.text) for r in out.collect()) == want
+
+
 def test_sketch_estimates_containment_between_unequal_texts(spark):
     small, large = prose(1, 2000), prose(1, 2000) + " " + prose(2, 20000)
     row = spark.createDataFrame([(small, large)], "a string, b string").select(sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b"))
