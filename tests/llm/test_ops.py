@@ -61,6 +61,41 @@ def test_substring_dedup(spark, docs, clash):
     assert substring_dedup.dedup_substrings(none(spark)).count() == 0
 
 
+def test_words_that_only_a_polynomial_confuses_are_told_apart(spark):
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one  # a Thue-Morse sequence and its complement: equal modulo 2**64 for every base
+    shared = prose(1, 12)
+    df = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, f"{shared} {one}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_window_hashes_are_polynomials_modulo_the_prime():
+    words = tokenhash.word_hashes(" ".join(prose(5, 400).split()).encode())
+    for size in (1, 2, 3, 5, 13, 31):
+        want = [sum(int(w) % tokenhash.PRIME * pow(tokenhash.BASE, j, tokenhash.PRIME) for j, w in enumerate(words[i : i + size])) % tokenhash.PRIME for i in range(len(words) - size + 1)]
+        assert (tokenhash.window_hashes(words, size) == tokenhash.mix(np.array(want, np.uint64))).all()
+
+
+def test_substring_dedup_where_an_id_and_a_passage_repeat(spark):
+    passage = prose(7, 15)
+    rows = [(5 if k % 2 else k, f"{prose(k % 20, 10)} {passage} {prose(k, 3)}") for k in range(300)] + [(None, passage)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    low: dict = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            if d is not None:
+                low[tuple(w[i : i + 13])] = min(low.get(tuple(w[i : i + 13]), d), d)
+    want = Counter()
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if d is not None and low[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want[d, " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    for combine in (100, 1_000_000):
+        assert Counter((r.doc_id, r.kept_text) for r in substring_dedup.dedup_substrings(df, combine=combine).collect()) == want
+
+
 def test_window_hashes_are_of_windows():
     words = [b"a", b"bb", b"a", b"bb", b"a", b"c"]
     h = tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), 2)

@@ -1,13 +1,15 @@
 """Substring dedup: repeated fixed-length token windows become removal intervals.
 
-Pass 1 hashes every window (Rabin-Karp, ``tokenhash``), combines within the task
-and deals the distinct hashes out by hash range. Pass 2 finds, range by range,
-the windows that also start in a document with a smaller id. Pass 3 meets the
-flagged hashes with the documents again, merges the windows that they mark into
+Pass 1 hashes every window (Rabin-Karp, ``tokenhash``), keeps of those that a task
+meets several times the ones of the smallest id, and deals them out by hash, packed,
+eight bytes and a share of its row's key a window. Spark counts: a window aggregate
+over each hash gives the smallest id that it starts in, and the later ones are the
+flags. Pass 2 joins the flags to their rows, merges the windows that they mark into
 maximal intervals and drops the words inside.
 
-Only hashes and ids travel before the last pass; a hash occurs once per task at
-most, however many copies of a document there are, so no key grows hot.
+A hash leaves a task once for each row that has its smallest id there, however many
+copies of a document there are, so no hash grows hot; flags are keyed by row, not by
+id, so no id does.
 """
 
 from __future__ import annotations
@@ -16,161 +18,151 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenhash
 from .common import width
 
-_DEALT = "bucket int, home int, ids binary, counts binary, hashes binary"
+_RUNS = "array<struct<key:long,id:long,n:int>>"
+_DEALT = f"bucket int, later boolean, runs {_RUNS}, hashes array<long>"
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+#: Buckets a shuffle partition.
+BUCKETS = 3
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where, in columns sorted together, a new combination begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
+def _split(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of some rows with their ids: those with the smallest id of their hash, and the later ones; each once a row."""
+    order = np.lexsort((rows, ids[rows], hashes))
+    h, r = hashes[order], rows[order]
+    order, h, r = (c[_first(h, r)] for c in (order, h, r))
+    at = np.flatnonzero(_first(h))
+    later = ids[r] > np.repeat(ids[r[at]], np.diff(np.append(at, len(h))))
+    return order[~later], order[later]
+
+
+def _packed(bucket: np.ndarray, rows: np.ndarray, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray):
+    """A row for each bucket: its hashes in order of the rows that they come from, and those rows with their counts."""
+    order = np.lexsort((rows, bucket))
+    bucket, rows, hashes = bucket[order], rows[order], hashes[order]
+    edges = np.append(np.flatnonzero(_first(bucket)), len(bucket))
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = rows[a:b]
+        at = np.flatnonzero(_first(own))
+        yield int(bucket[a]), keys[own[at]], ids[own[at]], np.diff(np.append(at, b - a)), hashes[a:b]
+
+
+def _deal(size: int, buckets: int, most: int):
+    run_type = pa.struct([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), ("runs", pa.list_(run_type)), ("hashes", pa.list_(pa.int64()))])
+
+    def table(later: bool, found: list[tuple]) -> pa.RecordBatch:
+        bucket, keys, ids, counts, hashes = zip(*found)
+        offsets = lambda parts: pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+        runs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int32))], fields=list(run_type))
+        columns = [pa.array(bucket, pa.int32()), pa.array([later] * len(bucket)), pa.ListArray.from_arrays(offsets(keys), runs), pa.ListArray.from_arrays(offsets(hashes), pa.array(np.concatenate(hashes).view(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-
-def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and length of each run of equal values."""
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(ids)))
-
-
-def _later(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of one window per hash with the smallest id, and of the windows with a larger id than that."""
-    order = np.lexsort((ids, hashes))
-    h, d = hashes[order], ids[order]
-    first, count = _runs(h)
-    return order[first], order[d > np.repeat(d[first], count)]
-
-
-def _home(ids: np.ndarray, homes: int) -> np.ndarray:
-    return ((ids ^ (ids >> 17) ^ (ids >> 34)) % homes).astype(np.int32)
-
-
-def _packed(key: np.ndarray, ids: np.ndarray, hashes: np.ndarray):
-    """For each value of ``key``, which must be in order: it, and its ids, their counts and its hashes as bytes."""
-    for at, n in zip(*_runs(key)):
-        own = ids[at : at + n]
-        first, count = _runs(own)
-        yield int(key[at]), own[first].tobytes(), count.astype(np.uint32).tobytes(), hashes[at : at + n].tobytes()
-
-
-def _flagged(hashes: np.ndarray, ids: np.ndarray, picked: np.ndarray, homes: int):
-    """The picked windows packed by the home of their document, each hash of a document once."""
-    h, d = hashes[picked], ids[picked]
-    home = _home(d, homes)
-    order = np.lexsort((h, d, home))
-    h, d, home = h[order], d[order], home[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, bool)
-    return _packed(home[new], d[new], h[new])
-
-
-def _deal(size: int, buckets: int, homes: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, held = [], [], 0
-
-        def flush():
-            h, d = np.concatenate(hashes), np.concatenate(ids)
-            keep, later = _later(h, d)
-            keep.sort()  # by document again, so that ids come in runs
-            bucket = ((h[keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
-            keep, bucket = keep[order], bucket[order]
-            rows = [(k, None, *rest) for k, *rest in _packed(bucket, d[keep], h[keep])]
-            rows += [(k % buckets, k, *rest) for k, *rest in _flagged(h, d, later, homes)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _schema)], schema=_schema)
-
-        _schema = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+        hashes, rows, keys, ids = [], [], [], []
+        words: list[bytes] = []
+        lengths: list[int] = []
+        held = 0
+
+        def hash_words() -> None:
+            n = np.array(lengths)
+            whole = tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size)
+            # windows that run over a document's end do not count
+            left = np.repeat(np.cumsum(n), n)[: len(whole)] - np.arange(len(whole)) >= size
+            hashes.append(whole[left])
+            rows.append(np.repeat(np.arange(len(keys) - len(n), len(keys), dtype=np.int32), n)[: len(whole)][left])
+            words.clear(), lengths.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, r = np.concatenate(hashes), np.concatenate(rows)
+            k, d = np.array(keys, np.int64), np.array(ids, np.int64)
+            first, later = _split(h, r, d)
+            # a hash's bucket for those that are compared further; those that are flagged already go by row
+            by_hash = ((h[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            by_row = (tokenhash.mix(k[r[later]].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            for flag, bucket, which in ((False, by_hash, first), (True, by_row, later)):
+                found = list(_packed(bucket, r[which], h[which], k, d)) if len(which) else []
+                for at in range(0, len(found), 64):
+                    yield table(flag, found[at : at + 64])
+            hashes.clear(), rows.clear(), keys.clear(), ids.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words, owners, chunk = [], [], 0
-                pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                for doc, text in [*pairs, (None, "")]:
-                    own = text.encode("utf-8", "surrogatepass").split() if text is not None and doc is not None else []
-                    if len(own) >= size:
-                        words += own
-                        owners.append((doc, len(own)))
-                        chunk += len(own)
-                    if words and (chunk > 150_000 or (doc is None and text == "")):
-                        n = np.array([c for _, c in owners])
-                        whole = tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size)
-                        # windows that run over a document's end do not count
-                        left = np.repeat(np.cumsum(n), n)[: len(whole)] - np.arange(len(whole)) >= size
-                        hashes.append(whole[left])
-                        ids.append(np.repeat(np.array([o for o, _ in owners], np.int64), n)[: len(whole)][left])
-                        held += len(hashes[-1])
-                        words, owners, chunk = [], [], 0
-                    if held >= most:
-                        yield flush()
-                        hashes.clear(), ids.clear()
-                        held = 0
-        if held:
-            yield flush()
-
-    return run
-
-
-_FLAGS = pa.schema([("home", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-
-
-def _unpack(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(hashes, np.uint64), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32))
-
-
-def _meet(homes: int):
-    def run(table: pa.Table) -> pa.Table:
-        found, rows = [], []
-        for home, *packed in zip(*(table.column(k).to_pylist() for k in ("home", "ids", "counts", "hashes"))):
-            if home is None:
-                found.append(_unpack(*packed))
-            else:
-                rows.append((home, *packed))
-        if found:
-            h, d = (np.concatenate(c) for c in zip(*found))
-            rows += _flagged(h, d, _later(h, d)[1], homes)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _FLAGS)], schema=_FLAGS)
+                for key, doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    own = text.encode("utf-8", "surrogatepass").split()
+                    if len(own) < size:
+                        continue
+                    words += own
+                    lengths.append(len(own))
+                    keys.append(key)
+                    ids.append(doc)
+                    held += len(own)
+                    if len(words) > 150_000:
+                        hash_words()
+                        if held >= most:
+                            yield from flush()
+                            held = 0
+        if words:
+            hash_words()
+        if hashes:
+            yield from flush()
 
     return run
 
 
 def _strip(size: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, marks, marked = None, [], None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "removed")}
-                for where, own, text, *packed in zip(*(c.to_pylist() for c in part.columns)):
-                    if where != home:
-                        home, marks, marked = where, [], None
-                    if packed[0] is not None:
-                        marks.append(_unpack(*packed))
-                        continue
-                    if marks and marked is None:
-                        h, d = (np.concatenate(c) for c in zip(*marks))
-                        order = np.argsort(d, kind="stable")
-                        marked, marks = (h[order], d[order]), []
+                part, out = batch.slice(at, 512), {k: [] for k in schema.names}
+                for doc, text, flags in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     words = text.encode("utf-8", "surrogatepass").split() if text is not None else []
                     n, cuts = len(words), []
-                    flags = marked[0][np.searchsorted(marked[1], own, "left") : np.searchsorted(marked[1], own, "right")] if marked is not None and own is not None and n >= size else ()
-                    if len(flags):
-                        hit = np.flatnonzero(np.isin(tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size), flags))
-                        if len(hit):
-                            edge = np.flatnonzero(np.diff(hit) > size)
-                            cuts = [(int(s), int(e)) for s, e in zip(hit[np.append(0, edge + 1)], hit[np.append(edge, len(hit) - 1)] + size)]
-                            kept, last = [], 0
-                            for s, e in cuts:
-                                kept += words[last:s]
-                                last = e
-                            words = kept + words[last:]
-                    out["doc_id"].append(own)
-                    out["n_words"].append(n)
-                    out["n_removed"].append(n - len(words))
-                    out["kept_text"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                    out["removed"].append([{"start": s, "end": e} for s, e in cuts])
-                yield pa.RecordBatch.from_pydict(out, schema=_result)
-
-    _result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+                    if flags.is_valid and n >= size:
+                        own = flags.values.to_numpy().view(np.uint64)
+                        hit = np.flatnonzero(np.isin(tokenhash.window_hashes(tokenhash.word_hashes(b" ".join(words)), size), own))
+                        edge = np.flatnonzero(np.diff(hit) > size)
+                        cuts = [(int(s), int(e)) for s, e in zip(hit[np.append(0, edge + 1)], hit[np.append(edge, len(hit) - 1)] + size)] if len(hit) else []
+                        kept, last = [], 0
+                        for s, e in cuts:
+                            kept += words[last:s]
+                            last = e
+                        words = kept + words[last:]
+                    for name, value in zip(schema.names, (doc, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass"), [{"start": s, "end": e} for s, e in cuts])):
+                        out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+
     return run
 
 
+def flags(rows: DataFrame, size: int, combine: int) -> DataFrame:
+    """``key, hash`` of every window of ``key, doc_id, text`` (no nulls) that also starts in a row with a smaller id."""
+    n = width(rows.sparkSession)
+    dealt = rows.mapInArrow(_deal(size, BUCKETS * n, combine), _DEALT).repartition(n, "bucket")
+    each = F.flatten(F.transform("runs", lambda r: F.array_repeat(F.struct(r["key"].alias("key"), r["id"].alias("id")), r["n"])))
+    windows = dealt.select("bucket", "later", F.explode(F.zip_with("hashes", each, lambda h, r: F.struct(h.alias("hash"), r["key"].alias("key"), r["id"].alias("id")))).alias("w"))
+    windows = windows.select("bucket", F.when(F.col("later"), F.col("w.key")).alias("alone"), "later", "w.hash", "w.key", "w.id")
+    # what is flagged already stands alone, so that a common window's flags do not meet in one group
+    least = F.min("id").over(Window.partitionBy("bucket", "hash", "alone"))
+    return windows.withColumn("least", least).where(F.col("later") | (F.col("id") > F.col("least"))).select("key", "hash")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, combine: int = 1_200_000) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
@@ -178,19 +170,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``combine`` bounds the windows a task holds before it combines and sends them.
 
     Null text has no words. A null id neither removes nor loses anything. Rows that repeat an id do not remove each
-    other. Texts shorter than the window are kept. Other columns are not read. Windows are compared by a 64-bit hash.
+    other. Texts shorter than the window are kept. Other columns are not read. Windows are compared by a 61-bit hash.
     """
-    spark = docs.sparkSession
-    n = width(spark)
-    homes = n  # rows between the passes: at most buckets x homes
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.mapInArrow(_deal(window, 2 * n, homes, combine), _DEALT)
-    flags = dealt.groupBy("bucket").applyInArrow(_meet(homes), "home int, ids binary, counts binary, hashes binary")
-    x = F.coalesce("doc_id", F.lit(0).cast("long"))
-    home = F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 34)), F.lit(homes)).cast("int")
-    none = F.lit(None).cast("binary")
-    both = flags.select("home", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "hashes").unionByName(
-        rows.select(home.alias("home"), "doc_id", "text", none.alias("ids"), none.alias("counts"), none.alias("hashes"))
-    )
-    both = both.repartition(n, "home").sortWithinPartitions("home", F.col("ids").isNull(), "doc_id")
-    return both.mapInArrow(_strip(window), _OUT)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    found = flags(rows.where(known).select("key", "doc_id", "text"), window, combine).groupBy("key").agg(F.collect_set("hash").alias("flags"))
+    some = rows.where(known).join(found, "key", "left").select("doc_id", "text", "flags")
+    rest = rows.where(~known).select("doc_id", "text", F.lit(None).cast("array<long>").alias("flags"))
+    return some.unionByName(rest).mapInArrow(_strip(window), _OUT)
