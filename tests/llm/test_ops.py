@@ -503,6 +503,21 @@ def test_taken_words_come_near_the_targets(spark):
     assert all(abs(taken - target) <= 0.005 * target for taken, target in by.values())
 
 
+def test_taken_words_come_near_the_targets_where_blocks_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FINE", 20)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 2)
+    rng = random.Random(9)
+    df = spark.createDataFrame([(k, "w " * int(rng.lognormvariate(4, 1)), f"s{k % 3 if k % 4 else 0}") for k in range(3000)], "doc_id long, text string, source string")
+    by = defaultdict(lambda: [0, 0.0])
+    rows = mixing.mix(df, levels=1).collect()
+    for r in rows:
+        assert r.taken == r.copies * r.size <= 2 * r.size and len(r.shards) == r.copies
+        by[r.source][0] += r.taken
+        by[r.source][1] = r.target
+    assert len(rows) == 3000 and all(abs(taken - target) <= 0.005 * target for taken, target in by.values())
+
+
 def test_splitting_tree_deals_exact_quotas(spark):
     quotas = {"a": 100, "b": 37, "c": 1, "d": 0}
     got = mixing.shard_quotas(spark.createDataFrame(list(quotas.items()), "src string, n long"), 3).collect()

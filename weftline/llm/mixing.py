@@ -1,16 +1,17 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Sources get targets by weight, capped at a multiple of their size. A source gives
-whole passes over its documents and, for the rest, permuted blocks of documents
-until its quota is met; only the block that crosses the quota is resolved by
-document. The blocks taken are the slots of the mix. A binary tree splits the
-slots of every source between equally long halves of the shards, each split a
-multivariate-hypergeometric draw, so that each shard holds an exact number of
-blocks of each source; permuted blocks are then dealt to the shards by those
-numbers, without overlap, and shuffled inside them.
+Sources get targets by weight, capped at a multiple of their size. A source's quota is
+a number of blocks: whole passes over its blocks and, of one more pass in permuted
+order, as many as its target takes. A binary tree splits the quotas of all sources
+between equally long halves of the shards, each split a multivariate-hypergeometric
+draw, so that each shard holds an exact number of blocks of each source. The shards
+draw that many of the permuted blocks, disjointly; a document is taken as often as
+its block was drawn. The block that crosses the target is cut into blocks again, and
+again, until the one that crosses is a few thousand documents, which are resolved one
+by one; then the shards shuffle locally.
 
 Only DataFrame operations are used. Blocks are hashes of documents within their
-source, 1024 at most for a source, so a source of any size spreads over many
+source, a bounded number for a source, so a source of any size spreads over many
 tasks, and what is ordered within a source is its blocks.
 """
 
@@ -19,11 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, discard, materialise, width
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
-BLOCKS, BLOCK_DOCS, LEVELS = 1024, 32, 4
+#: Least number of blocks of a large source, of blocks a shard, and of documents a block; levels of the tree.
+BLOCKS, SHARD_BLOCKS, BLOCK_DOCS, LEVELS = 256, 16, 32, 4
+#: Documents of a crossing block that are resolved one by one.
+FINE = 4096
 
 
 def _uniform(*parts: Column) -> Column:
@@ -92,28 +96,29 @@ def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("src"), size.alias("size"), *row_keys(id_col, source_col, text_col))
 
 
-def decide(sizes: DataFrame, levels: int = LEVELS, seed: int = 42) -> DataFrame:
-    """``k1, k2, source_size, target, copies, shards`` for each distinct row of ``src, size, k1, k2``."""
-    rows = sizes.groupBy("k1", "k2", "src", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
-    sources = targets(rows.groupBy("src").agg(F.sum("words").alias("source_size"), F.count("*").alias("docs")))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    sources = sources.withColumn("passes", passes).withColumn("quota", F.col("target") - F.col("passes") * F.col("source_size"))
-    sources = sources.withColumn("of", F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.floor(F.col("docs") / BLOCK_DOCS))).cast("int"))
-    sources = materialise(sources, "sources")
-
-    placed = rows.join(sources, "src").withColumn("key", F.xxhash64(F.lit(seed), "k1", "k2")).withColumn("block", F.pmod("key", "of"))
-    placed = materialise(placed.select("k1", "k2", "key", "src", "block", "words", "size", "source_size", "target", "passes", "quota"), "placed")
-    blocks = placed.groupBy("src", "block").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"), F.first("passes").alias("passes"))
-    order = F.xxhash64(F.lit(seed + 1), "src", "block")
+def _blocks(placed: DataFrame, seed: int, *more: str) -> DataFrame:
+    """``src, block, state, lack`` and the columns ``more``: the blocks of each source in permuted order, ``whole`` up to its ``lack``, then the one ``part`` that crosses it, with what lacks there."""
+    blocks = placed.groupBy("src", "block").agg(F.sum("words").alias("words"), *(F.first(c).alias(c) for c in ("lack", *more)))
     through = Window.partitionBy("src").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("turn", order).withColumn("sum", F.sum("words").over(through))
+    blocks = blocks.withColumn("turn", F.xxhash64(F.lit(seed), "src", "block")).withColumn("sum", F.sum("words").over(through))
     start = F.col("sum") - F.col("words")
-    state = F.when(F.col("sum") <= F.col("quota"), "whole").when(start < F.col("quota"), "part").otherwise("none")
-    blocks = materialise(blocks.select("src", "block", "passes", state.alias("state"), (F.col("quota") - start).alias("lack")), "blocks")
+    state = F.when(F.col("sum") <= F.col("lack"), "whole").when(start < F.col("lack"), "part").otherwise("none")
+    return blocks.select("src", "block", state.alias("state"), (F.col("lack") - start).alias("lack"), *more)
+
+
+def _numbered(seed: Column | int, level: int, docs: Column, most: int) -> Column:
+    """The block of a document among those of its source."""
+    # a block that is cut again falls into two at least
+    of = F.least(F.lit(most), F.greatest(F.lit(1 if level == 0 else 2), F.floor(docs / BLOCK_DOCS))).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k1", "k2"), of)
+
+
+def _resolved(crossing: DataFrame) -> DataFrame:
+    """Of a few documents a source (``src, lack, words, key, k1, k2``) those that come nearest to what lacks, as ``k1, k2``.
 
-    # the crossing block, document by document: a prefix of its permutation up to three quarters of what lacks; then, again
-    # and again, the largest of the rest that still fit; then the one that comes nearest to what lacks
-    crossing = placed.select("k1", "k2", "key", "src", "block", "words").join(blocks.where("state = 'part'").select("src", "block", "lack"), ["src", "block"])
+    A prefix of their permutation up to three quarters; then, again and again, the largest of the rest that still fit;
+    then the one that comes nearest.
+    """
     whole = Window.partitionBy("src")
     upto = lambda *order: whole.orderBy(*order, "key", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     crossing = crossing.withColumn("in", F.sum("words").over(upto()) <= 0.75 * F.col("lack"))
@@ -126,8 +131,45 @@ def decide(sizes: DataFrame, levels: int = LEVELS, seed: int = 42) -> DataFrame:
     crossing = crossing.withColumn("miss", miss)
     place = F.when(~F.col("in") & (F.col("words") > 0) & (F.col("words") < 2 * F.col("miss")), F.struct(F.abs(F.col("miss") - F.col("words")).alias("d"), "key", "k1", "k2"))
     crossing = crossing.withColumn("place", place).withColumn("best", F.min("place").over(whole))
-    drawn = crossing.where(F.col("in") | (F.col("place") == F.col("best"))).select("k1", "k2", F.lit(1).alias("drawn"))
+    return crossing.where(F.col("in") | (F.col("place") == F.col("best"))).select("k1", "k2")
+
+
+def _crossed(placed: DataFrame, blocks: DataFrame, seed: int, most: int) -> DataFrame:
+    """``k1, k2`` of the documents that the crossing blocks give: cut again until few documents cross."""
+    own = ("k1", "k2", "key", "src", "words")
+    inside = lambda docs, of, state: docs.select(*own, "block").join(of.where(F.col("state") == state).select("src", "block", "lack"), ["src", "block"]).select(*own, "lack")
+    crossing, given, level = materialise(inside(placed, blocks, "part"), "crossing"), None, 1
+    while True:
+        counts = crossing.groupBy("src").agg(F.count("*").alias("docs"))
+        if (counts.agg(F.max("docs")).first()[0] or 0) <= FINE:
+            last = _resolved(crossing)
+            return last if given is None else given.unionByName(last)
+        cut = crossing.join(counts, "src").withColumn("block", _numbered(seed, level, F.col("docs"), most)).drop("docs")
+        cut = materialise(cut, "cut")
+        of = materialise(_blocks(cut, seed + 1 + level), "cut_blocks")
+        taken = materialise(inside(cut, of, "whole").select("k1", "k2"), "given")
+        given = taken if given is None else given.unionByName(taken)
+        after = materialise(inside(cut, of, "part"), "crossing")
+        for done in (crossing, cut, of):
+            discard(done)
+        crossing, level = after, level + 1
+
+
+def decide(sizes: DataFrame, levels: int = LEVELS, seed: int = 42) -> DataFrame:
+    """``k1, k2, source_size, target, copies, shards`` for each distinct row of ``src, size, k1, k2``."""
+    most = max(BLOCKS, SHARD_BLOCKS << levels)
+    rows = sizes.groupBy("k1", "k2", "src", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
+    sources = targets(rows.groupBy("src").agg(F.sum("words").alias("source_size"), F.count("*").alias("docs")))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    sources = sources.withColumn("passes", passes).withColumn("lack", F.col("target") - F.col("passes") * F.col("source_size"))
+    sources = materialise(sources, "sources")
+
+    placed = rows.join(sources, "src").withColumn("key", F.xxhash64(F.lit(seed), "k1", "k2")).withColumn("block", _numbered(seed, 0, F.col("docs"), most))
+    placed = materialise(placed.select("k1", "k2", "key", "src", "block", "words", "size", "source_size", "target", "passes", "lack"), "placed")
+    blocks = materialise(_blocks(placed, seed + 1, "passes"), "blocks")
+    drawn = _crossed(placed, blocks, seed, most).withColumn("drawn", F.lit(True))
 
+    # each source's quota of blocks, split by the tree; the shards then take their shares off the permuted blocks
     slots = blocks.withColumn("n", F.col("passes") + F.when(F.col("state") == "none", 0).otherwise(1)).where("n > 0")
     slots = slots.select("src", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     dealt = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 2), "src", "block", "copy"), "block", "copy")
@@ -139,10 +181,10 @@ def decide(sizes: DataFrame, levels: int = LEVELS, seed: int = 42) -> DataFrame:
 
     known = blocks.join(homes, ["src", "block"], "left").select("src", "block", "state", "seats")
     out = placed.join(known, ["src", "block"]).join(drawn, ["k1", "k2"], "left")
-    copies = F.col("passes") + F.when(F.col("state") == "whole", 1).when(F.col("state") == "part", F.coalesce("drawn", F.lit(0))).otherwise(0)
-    out = out.withColumn("copies", copies.cast("long"))
-    shards = F.coalesce(F.slice("seats", F.lit(1), F.col("copies").cast("int")), F.array().cast("array<int>"))
-    return out.select("k1", "k2", "source_size", "target", "copies", shards.alias("shards"))
+    # a document is taken as often as shards drew its block, but for the crossing one's last time
+    without = F.when((F.col("state") == "part") & F.col("drawn").isNull(), 1).otherwise(0)
+    out = out.withColumn("seats", F.coalesce("seats", F.array().cast("array<int>"))).withColumn("copies", (F.size("seats") - without).cast("long"))
+    return out.select("k1", "k2", "source_size", "target", "copies", F.slice("seats", F.lit(1), F.col("copies").cast("int")).alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = LEVELS, seed: int = 42) -> DataFrame:
@@ -164,4 +206,6 @@ def draw(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(id_col, source_col, text_col))
     out = boxed.join(decided, ["k1", "k2"]).select("row", "k1", "k2", F.posexplode("shards").alias("copy", "shard"))
     turn = F.xxhash64(F.lit(seed + 3), "k1", "k2", "copy")
-    return out.repartition("shard", F.pmod(turn, F.lit(16))).sortWithinPartitions("shard", turn).select("row.*")
+    # a shard's documents spread over as many tasks as its share of the partitions
+    spread = max(16, -(-2 * width(docs.sparkSession) // 2**levels))
+    return out.repartition("shard", F.pmod(turn, F.lit(spread))).sortWithinPartitions("shard", turn).select("row.*")
