@@ -1,15 +1,16 @@
 """Substring dedup: repeated fixed-length token windows become removal intervals.
 
 Pass 1 hashes every window (Rabin-Karp, ``tokenhash``), keeps of those that a task
-meets several times the ones of the smallest id, and deals them out by hash, packed,
-eight bytes and a share of its row's key a window. Spark counts: a window aggregate
-over each hash gives the smallest id that it starts in, and the later ones are the
-flags. Pass 2 joins the flags to their rows, merges the windows that they mark into
-maximal intervals and drops the words inside.
+meets several times the ones of the smallest id, and deals them out by hash, in
+arrays whose ids come in runs. Spark counts: a window aggregate over each hash gives
+the smallest id that it starts in, and the later ones are the flags. Pass 2 joins
+the flags to their rows, merges the windows that they mark into maximal intervals
+and drops the words inside.
 
 A hash leaves a task once for each row that has its smallest id there, however many
-copies of a document there are, so no hash grows hot; flags are keyed by row, not by
-id, so no id does.
+copies of a document there are, so no hash grows hot; flags are keyed by id and a tag
+of the text, so a much repeated id does not either (whether a window goes depends on
+its hash and id alone, so rows that share both keys share their flags rightly).
 """
 
 from __future__ import annotations
@@ -24,13 +25,8 @@ from pyspark.sql import functions as F
 from . import tokenhash
 from .common import width
 
-_RUNS = "array<struct<key:long,id:long,n:int>>"
-_DEALT = f"bucket int, later boolean, runs {_RUNS}, hashes array<long>"
+_DEALT = "bucket int, later boolean, ids array<long>, tags array<short>, hashes array<long>"
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
-#: Buckets a shuffle partition.
-BUCKETS = 3
-
-
 def _first(*keys: np.ndarray) -> np.ndarray:
     """Where, in columns sorted together, a new combination begins."""
     new = np.zeros(len(keys[0]), bool)
@@ -50,30 +46,20 @@ def _split(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return order[~later], order[later]
 
 
-def _packed(bucket: np.ndarray, rows: np.ndarray, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray):
-    """A row for each bucket: its hashes in order of the rows that they come from, and those rows with their counts."""
-    order = np.lexsort((rows, bucket))
-    bucket, rows, hashes = bucket[order], rows[order], hashes[order]
-    edges = np.append(np.flatnonzero(_first(bucket)), len(bucket))
-    for a, b in zip(edges[:-1], edges[1:]):
-        own = rows[a:b]
-        at = np.flatnonzero(_first(own))
-        yield int(bucket[a]), keys[own[at]], ids[own[at]], np.diff(np.append(at, b - a)), hashes[a:b]
-
-
 def _deal(size: int, buckets: int, most: int):
-    run_type = pa.struct([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
-    schema = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), ("runs", pa.list_(run_type)), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int16())), ("hashes", pa.list_(pa.int64()))])
 
-    def table(later: bool, found: list[tuple]) -> pa.RecordBatch:
-        bucket, keys, ids, counts, hashes = zip(*found)
-        offsets = lambda parts: pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-        runs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int32))], fields=list(run_type))
-        columns = [pa.array(bucket, pa.int32()), pa.array([later] * len(bucket)), pa.ListArray.from_arrays(offsets(keys), runs), pa.ListArray.from_arrays(offsets(hashes), pa.array(np.concatenate(hashes).view(np.int64)))]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+    def packed(later: bool, bucket: np.ndarray, rows: np.ndarray, hashes: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket: its hashes in order of the rows that they come from."""
+        order = np.lexsort((rows, bucket))
+        bucket, rows, hashes = bucket[order], rows[order], hashes[order]
+        at = np.flatnonzero(_first(bucket))
+        offsets = pa.array(np.append(at, len(bucket)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (ids[rows], tags[rows], hashes.view(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([later] * len(at)), *lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, keys, ids = [], [], [], []
+        hashes, rows, tags, ids = [], [], [], []
         words: list[bytes] = []
         lengths: list[int] = []
         held = 0
@@ -84,31 +70,30 @@ def _deal(size: int, buckets: int, most: int):
             # windows that run over a document's end do not count
             left = np.repeat(np.cumsum(n), n)[: len(whole)] - np.arange(len(whole)) >= size
             hashes.append(whole[left])
-            rows.append(np.repeat(np.arange(len(keys) - len(n), len(keys), dtype=np.int32), n)[: len(whole)][left])
+            rows.append(np.repeat(np.arange(len(ids) - len(n), len(ids), dtype=np.int32), n)[: len(whole)][left])
             words.clear(), lengths.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, r = np.concatenate(hashes), np.concatenate(rows)
-            k, d = np.array(keys, np.int64), np.array(ids, np.int64)
+            d, t = np.array(ids, np.int64), np.array(tags, np.int16)
             first, later = _split(h, r, d)
-            # a hash's bucket for those that are compared further; those that are flagged already go by row
+            # by hash where it is compared further; what is flagged already goes by row
             by_hash = ((h[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            by_row = (tokenhash.mix(k[r[later]].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            by_row = (tokenhash.mix(d[r[later]].view(np.uint64) * np.uint64(65536) + t[r[later]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             for flag, bucket, which in ((False, by_hash, first), (True, by_row, later)):
-                found = list(_packed(bucket, r[which], h[which], k, d)) if len(which) else []
-                for at in range(0, len(found), 64):
-                    yield table(flag, found[at : at + 64])
-            hashes.clear(), rows.clear(), keys.clear(), ids.clear()
+                if len(which):
+                    yield packed(flag, bucket, r[which], h[which], d, t)
+            hashes.clear(), rows.clear(), tags.clear(), ids.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for key, doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for doc, tag, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     own = text.encode("utf-8", "surrogatepass").split()
                     if len(own) < size:
                         continue
                     words += own
                     lengths.append(len(own))
-                    keys.append(key)
+                    tags.append(tag)
                     ids.append(doc)
                     held += len(own)
                     if len(words) > 150_000:
@@ -124,15 +109,30 @@ def _deal(size: int, buckets: int, most: int):
     return run
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle; null stays null."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            bodies = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["doc_id", "tag", "body"])
+
+
 def _strip(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), {k: [] for k in schema.names}
-                for doc, text, flags in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    words = text.encode("utf-8", "surrogatepass").split() if text is not None else []
+                for doc, body, flags in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    words = loose(body).split() if body is not None else []
                     n, cuts = len(words), []
                     if flags.is_valid and n >= size:
                         own = flags.values.to_numpy().view(np.uint64)
@@ -152,15 +152,14 @@ def _strip(size: int):
 
 
 def flags(rows: DataFrame, size: int, combine: int) -> DataFrame:
-    """``key, hash`` of every window of ``key, doc_id, text`` (no nulls) that also starts in a row with a smaller id."""
+    """``doc_id, tag, hash`` of every window of ``doc_id, tag, text`` (no nulls) that also starts in a row with a smaller id."""
     n = width(rows.sparkSession)
-    dealt = rows.mapInArrow(_deal(size, BUCKETS * n, combine), _DEALT).repartition(n, "bucket")
-    each = F.flatten(F.transform("runs", lambda r: F.array_repeat(F.struct(r["key"].alias("key"), r["id"].alias("id")), r["n"])))
-    windows = dealt.select("bucket", "later", F.explode(F.zip_with("hashes", each, lambda h, r: F.struct(h.alias("hash"), r["key"].alias("key"), r["id"].alias("id")))).alias("w"))
-    windows = windows.select("bucket", F.when(F.col("later"), F.col("w.key")).alias("alone"), "later", "w.hash", "w.key", "w.id")
-    # what is flagged already stands alone, so that a common window's flags do not meet in one group
-    least = F.min("id").over(Window.partitionBy("bucket", "hash", "alone"))
-    return windows.withColumn("least", least).where(F.col("later") | (F.col("id") > F.col("least"))).select("key", "hash")
+    dealt = rows.mapInArrow(_deal(size, n, combine), _DEALT).repartition(n, "bucket")
+    windows = dealt.select("bucket", "later", "ids", "tags", F.posexplode("hashes").alias("k", "hash"))
+    windows = windows.select("bucket", "later", "hash", F.get("ids", "k").alias("doc_id"), F.get("tags", "k").alias("tag"))
+    # the hash comes first in the sort; the bucket keeps what is dealt out where it is
+    least = F.min("doc_id").over(Window.partitionBy("hash", "bucket"))
+    return windows.withColumn("least", least).where(F.col("later") | (F.col("doc_id") > F.col("least"))).select("doc_id", "tag", "hash")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, combine: int = 1_200_000) -> DataFrame:
@@ -172,9 +171,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null text has no words. A null id neither removes nor loses anything. Rows that repeat an id do not remove each
     other. Texts shorter than the window are kept. Other columns are not read. Windows are compared by a 61-bit hash.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", F.shiftright(F.xxhash64("text"), 48).cast("short").alias("tag"), "text")
     known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    found = flags(rows.where(known).select("key", "doc_id", "text"), window, combine).groupBy("key").agg(F.collect_set("hash").alias("flags"))
-    some = rows.where(known).join(found, "key", "left").select("doc_id", "text", "flags")
-    rest = rows.where(~known).select("doc_id", "text", F.lit(None).cast("array<long>").alias("flags"))
+    found = flags(rows.where(known), window, combine).groupBy("doc_id", "tag").agg(F.collect_list("hash").alias("flags"))
+    bodies = lambda which: rows.where(which).mapInArrow(_squeezed, "doc_id long, tag short, body binary")
+    some = bodies(known).join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "flags")
+    rest = bodies(~known).select("doc_id", "body", F.lit(None).cast("array<long>").alias("flags"))
     return some.unionByName(rest).mapInArrow(_strip(window), _OUT)
