@@ -153,7 +153,7 @@ def _strip(size: int):
 
 def flags(rows: DataFrame, size: int, combine: int) -> DataFrame:
     """``doc_id, tag, hash`` of every window of ``doc_id, tag, text`` (no nulls) that also starts in a row with a smaller id."""
-    n = width(rows.sparkSession)
+    n = 2 * width(rows.sparkSession)  # a row a window is sorted, several times the bytes that are shuffled
     dealt = rows.mapInArrow(_deal(size, n, combine), _DEALT).repartition(n, "bucket")
     windows = dealt.select("bucket", "later", "ids", "tags", F.posexplode("hashes").alias("k", "hash"))
     windows = windows.select("bucket", "later", "hash", F.get("ids", "k").alias("doc_id"), F.get("tags", "k").alias("tag"))
@@ -162,7 +162,7 @@ def flags(rows: DataFrame, size: int, combine: int) -> DataFrame:
     return windows.withColumn("least", least).where(F.col("later") | (F.col("doc_id") > F.col("least"))).select("doc_id", "tag", "hash")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, combine: int = 1_200_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, combine: int = 400_000) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
     Returns one row per input row: ``doc_id, n_words, n_removed, kept_text, removed`` (word intervals, end exclusive).
