@@ -199,5 +199,7 @@ def test_uris(spark, uri, ok):
 
 
 def test_patterns():
-    assert regex.java_pattern(re.compile(r"(?P<a>x)(?P=a)", re.I)) == r"(?i)(?<a>x)\k<a>"
+    assert regex.java_pattern(re.compile(r"(?P<a>x)(?P=a)", re.I)) == r"(?iU)(?<a>x)\k<a>"
+    assert regex.java_pattern(r"(?P<a_b>[0-9])") == f"(?<gx{'a_b'.encode().hex()}>[0-9])" and regex.java_replacement(r"\g<a_b>") == f"${{gx{'a_b'.encode().hex()}}}"
+    assert regex.java_pattern(re.compile(r"\w", re.A)) == r"\w" and regex.java_pattern(r"a.\Z") == r"(?d)a.\z"
     assert regex.java_replacement(r"\1 $ \g<a>") == r"$1 \$ ${a}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
+import xml.etree.ElementTree as ET
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -64,19 +66,29 @@ class Catalog:
         self.prefixes[prefix] = uri
 
     def drop_prefix(self, prefix: str) -> None:
-        """Remove one prefix."""
+        """Remove one prefix; that of XML itself stays."""
+        if prefix == XML_PREFIX:
+            raise errors.RestrictedPrefixError(prefix)
         if prefix not in self.prefixes:
             raise errors.UnregisteredPrefixError(prefix)
         del self.prefixes[prefix]
 
     def drop_uri(self, uri: str) -> None:
-        """Remove every prefix of an address."""
+        """Remove every prefix of an address; that of XML itself stays."""
+        if uri == XML_URI:
+            raise errors.RestrictedURIError(uri)
         found = [p for p, u in self.prefixes.items() if u == uri]
         if not found:
             raise errors.UnregisteredURIError(uri)
         for prefix in found:
             del self.prefixes[prefix]
 
+    def gather(self, markup: bytes) -> None:
+        """Add the prefixes that a document declares and that are not there yet."""
+        for _, (prefix, uri) in ET.iterparse(io.BytesIO(markup), events=("start-ns",)):
+            if prefix != XML_PREFIX and prefix not in self.prefixes:
+                self.register(prefix, uri)
+
     def _maps(self, own: Mapping[str, str] | None) -> list[Mapping[str, str]]:
         return [m for m in (own, self.prefixes) if m is not None]
 
@@ -118,6 +130,21 @@ class Catalog:
                 return f"{fitting[0]}:{found.local}"
         raise errors.UnregisteredURIError(found.uri)
 
+    def shown(self, name: Column, notation: str) -> Column:
+        """A column of names in ``qualified``, ``local`` or ``prefixed`` notation; null where there is no such form, or more than one prefix for it."""
+        found = self.resolved(name)
+        if notation == "local":
+            return found["local"]
+        if notation == "qualified":
+            return found["clark"]
+        if notation != "prefixed":
+            raise ValueError(f"no such notation: {notation!r}")
+        by: dict[str, list[str]] = {}
+        for p, u in {**self.prefixes, XML_PREFIX: XML_URI}.items():
+            by.setdefault(u, []).append(p)
+        one = F.create_map(*(F.lit(x) for u, p in by.items() if len(p) == 1 for x in (u, p[0])))
+        return F.when(found["uri"].isNull(), found["local"]).otherwise(F.concat(F.element_at(one, found["uri"]), F.lit(":"), found["local"]))
+
     def resolved(self, name: Column) -> Column:
         """``struct<prefix, uri, local, clark>`` of a column of names; null for malformed names and unknown prefixes."""
         known = {XML_PREFIX: XML_URI, **self.prefixes}

@@ -58,13 +58,16 @@ def delete_attribute(x: Column, name: str) -> Column:
     return x.withField("extra", F.filter(x["extra"], lambda e: e["k"] != name))
 
 
-def attribute_map(x: Column) -> Column:
-    """All attributes by markup name; those that are missing are left out."""
+def attribute_map(x: Column, notation: str | None = None, catalog: Catalog | None = None) -> Column:
+    """All attributes by markup name; those that are missing are left out. Names are as written, or in a ``notation``."""
     pairs = {}
     for kind in ("sub", "hi", "ph", "it", "ept", "bpt"):
         pairs.update({name: column for name, column in NAMES[kind].items()})
     known = F.array(*(F.struct(F.lit(name).alias("k"), x[column].cast("string").alias("v")) for name, column in sorted(pairs.items())))
-    return F.map_from_entries(F.filter(F.concat(known, x["extra"]), lambda e: e["v"].isNotNull()))
+    pairs_ = F.filter(F.concat(known, x["extra"]), lambda e: e["v"].isNotNull())
+    if notation:
+        pairs_ = F.transform(pairs_, lambda e: F.struct((catalog or Catalog()).shown(e["k"], notation).alias("k"), e["v"].alias("v")))
+    return F.map_from_entries(pairs_)
 
 
 def append_child(seg: Column, child: Column) -> Column:
@@ -91,6 +94,25 @@ def get_tail(seg: Column, index: int) -> Column:
     return F.when(is_text(after) & (after["depth"] == F.get(seg, F.lit(index))["depth"]), after["text"])
 
 
+def set_text(seg: Column, index: int, text: Column | str | None) -> Column:
+    """The segment with the text at the beginning of the node at ``index`` replaced; null takes it away."""
+    has = get_text(seg, index).isNotNull()
+    return _replaced(seg, F.lit(index + 1), has, F.get(seg, F.lit(index))["depth"] + 1, text)
+
+
+def set_tail(seg: Column, index: int, text: Column | str | None) -> Column:
+    """The segment with the text right after the node at ``index`` replaced; null takes it away."""
+    has = get_tail(seg, index).isNotNull()
+    return _replaced(seg, F.lit(index + 1) + F.size(content_of(seg, index)), has, F.get(seg, F.lit(index))["depth"], text)
+
+
+def _replaced(seg: Column, at: Column, has: Column, depth: Column, text: Column | str | None) -> Column:
+    value = (text if isinstance(text, Column) else F.lit(text)).cast("string")
+    own = F.when(value.isNotNull(), F.array(item("text", depth, text=value))).otherwise(F.array()).cast(SEGMENT)
+    after = F.slice(seg, at + F.when(has, 2).otherwise(1), F.greatest(F.size(seg), F.lit(1)))
+    return F.concat(F.slice(seg, F.lit(1), at), own, after)
+
+
 def clear(seg: Column, index: int) -> Column:
     """The segment with the node at ``index`` emptied."""
     n = F.size(content_of(seg, index))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import INLINE, ITEM, SEGMENT
 
+#: Output items that a fold gathers before it sets them aside.
+CHUNK = 64
 Predicate = str | Iterable[str] | Callable[[Column], Column]
 
 
@@ -58,16 +60,45 @@ def within(recurse: bool) -> Callable[[Column], Column]:
     return (lambda x: F.lit(True)) if recurse else (lambda x: x["depth"] == 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(values: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], emits: str, finish: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A fold with output: ``step`` gives, from a state and a value, the next state and an array (type ``emits``) that goes out.
+
+    What goes out is gathered in chunks, so that an append copies a chunk at most, however long the array is.
+    ``finish`` makes the result of the last state and the output; by default it is the output. Null stays null.
+    """
+
+    def one(s: Column, x: Column) -> Column:
+        after, out = step(s["state"], x)
+        return F.struct(after.alias("state"), F.concat(s["out"], out).alias("out"))
+
+    def every(all_: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(CHUNK)), lambda c: c < F.size(all_))
+
+        def chunk(s: Column, c: Column) -> Column:
+            own = F.aggregate(F.slice(all_, c + 1, F.lit(CHUNK)), F.struct(s["state"].alias("state"), F.array().cast(emits).alias("out")), one)
+            return let(own, lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+        done = (lambda s: F.flatten(s["out"])) if finish is None else (lambda s: finish(s["state"], F.flatten(s["out"])))
+        return F.when(all_.isNotNull(), F.aggregate(firsts, F.struct(state.alias("state"), F.array().cast(f"array<{emits}>").alias("out")), chunk, done))
+
+    return let(values, every)
+
+
 def parents(seg: Column) -> Column:
     """Index (from 0) of the node that owns each item; -1 at the top level."""
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
         above = F.slice(s["open"], F.lit(1), x["depth"])
         owner = F.when(x["depth"] > 0, F.element_at(s["open"], x["depth"])).otherwise(F.lit(-1))
-        return F.struct(F.concat(above, F.array(F.size(s["out"]))).alias("open"), F.concat(s["out"], F.array(owner)).alias("out"))
+        return F.struct(F.concat(above, F.array(s["n"])).alias("open"), (s["n"] + 1).alias("n")), F.array(owner)
 
-    return F.aggregate(seg, start, step, lambda s: s["out"])
+    return folded(seg, start, step, "array<int>")
 
 
 def content_of(seg: Column, index: Column | int) -> Column:

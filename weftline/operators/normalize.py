@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .items import empty, is_text, parents, within
+from .items import is_text, let, parents, within
 
 #: White space as Python strips it: fixed values.
 WHITE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -15,13 +15,23 @@ def collapse_text(seg: Column, recurse: bool = False) -> Column:
     """Merge texts that follow each other in the same content; an empty text goes only by merging."""
     level = within(recurse)
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        joins = level(x) & is_text(x) & (F.size(out) > 0) & is_text(last) & (last["depth"] == x["depth"])
-        merged = last.withField("text", F.concat(last["text"], x["text"]))
-        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged))).otherwise(F.concat(out, F.array(x)))
+    def runs(all_: Column) -> Column:
+        def begins(x: Column, i: Column) -> Column:
+            before = F.get(all_, i - 1)
+            return F.when((i == 0) | ~(level(x) & is_text(x) & is_text(before) & (before["depth"] == x["depth"])), i)
 
-    return F.aggregate(seg, empty(), step)
+        def merged(firsts: Column):
+            def one(i: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(firsts, k + 1), F.size(all_)) - i
+                text = F.array_join(F.transform(F.slice(all_, i + 1, n), lambda x: x["text"]), "")
+                return F.when(n > 1, F.get(all_, i).withField("text", text)).otherwise(F.get(all_, i))
+
+            return one
+
+        firsts = F.filter(F.transform(all_, begins), lambda i: i.isNotNull())
+        return let(firsts, lambda f: F.transform(f, merged(f)))
+
+    return let(seg, runs)
 
 
 def remove_empty_text(seg: Column, recurse: bool = False) -> Column:
@@ -34,24 +44,28 @@ def strip_whitespace(seg: Column, mode: str = "both", recurse: bool = False) ->
     if mode not in ("both", "leading", "trailing"):
         raise ValueError(f"no such mode: {mode!r}")
     level = within(recurse)
-    owned = F.zip_with(seg, parents(seg), lambda x, p: F.struct(x.alias("x"), F.when(is_text(x), p).alias("p")))
+    # texts by owner, every other item by itself
+    owner = lambda all_: F.zip_with(all_, parents(all_), lambda x, p: F.when(is_text(x), p))
+    by = lambda all_: F.array_sort(F.transform(owner(all_), lambda p, i: F.struct(F.coalesce(p, -i - 2).alias("p"), i.alias("i"))))
+
+    def edges(keys: Column) -> Column:
+        """First and last of each owner's texts, in document order."""
 
-    def stripped(all_: Column) -> Column:
-        owners = F.transform(all_, lambda a: a["p"])
+        def one(e: Column, k: Column) -> Column:
+            first, last = (k == 0) | (F.get(keys, k - 1)["p"] != e["p"]), (k == F.size(keys) - 1) | (F.get(keys, k + 1)["p"] != e["p"])
+            return F.struct(e["i"].alias("i"), first.alias("first"), last.alias("last"))
 
-        def one(a: Column, i: Column) -> Column:
-            first = F.array_position(owners, a["p"]) == i + 1
-            last = F.array_position(F.reverse(owners), a["p"]) == F.size(owners) - i
-            text = a["x"]["text"]
-            if mode != "trailing":
-                text = F.when(first, F.regexp_replace(text, f"^{WHITE}+", "")).otherwise(text)
-            if mode != "leading":
-                text = F.when(last, F.regexp_replace(text, f"{WHITE}+\\z", "")).otherwise(text)
-            return F.when(level(a["x"]) & is_text(a["x"]), a["x"].withField("text", text)).otherwise(a["x"])
+        return F.array_sort(F.transform(keys, one))
 
-        return F.transform(all_, one)
+    def one(x: Column, edge: Column) -> Column:
+        text = x["text"]
+        if mode != "trailing":
+            text = F.when(edge["first"], F.regexp_replace(text, f"^{WHITE}+", "")).otherwise(text)
+        if mode != "leading":
+            text = F.when(edge["last"], F.regexp_replace(text, f"{WHITE}+\\z", "")).otherwise(text)
+        return F.when(level(x) & is_text(x), x.withField("text", text)).otherwise(x)
 
-    return F.element_at(F.transform(F.array(owned), stripped), 1)
+    return let(seg, lambda all_: F.zip_with(all_, let(by(all_), edges), one))
 
 
 def _distinct_in(df: DataFrame, column: str, recurse: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -10,22 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import SEGMENT
-from .items import Predicate, empty, is_text, item, matching, within
+from .items import Predicate, empty, folded, is_text, item, matching, within
 from .regex import java_pattern, java_replacement
 
 
 def remove(seg: Column, predicate: Predicate, recurse: bool = False) -> Column:
     """Drop matching inline nodes with all they hold; text and unknown items never match."""
     test, level = matching(predicate), within(recurse)
-    start = F.struct(F.lit(-1).alias("under"), empty().alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        inside = (s["under"] >= 0) & (x["depth"] > s["under"])
+    def step(under: Column, x: Column) -> tuple[Column, Column]:
+        inside = (under >= 0) & (x["depth"] > under)
         hit = level(x) & test(x)
-        under = F.when(inside, s["under"]).when(hit, x["depth"]).otherwise(F.lit(-1))
-        return F.struct(under.alias("under"), F.when(inside | hit, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+        return F.when(inside, under).when(hit, x["depth"]).otherwise(F.lit(-1)), F.when(inside | hit, empty()).otherwise(F.array(x))
 
-    return F.aggregate(seg, start, step, lambda s: s["out"])
+    return folded(seg, F.lit(-1), step, SEGMENT)
 
 
 def unwrap(seg: Column, predicate: Predicate, recurse: bool = False) -> Column:
@@ -34,33 +33,40 @@ def unwrap(seg: Column, predicate: Predicate, recurse: bool = False) -> Column:
     Without ``recurse`` a node goes if it matches and every node around it went; with it every match goes.
     """
     test = matching(predicate)
-    start = F.struct(F.array().cast("array<int>").alias("gone"), empty().alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        gone = F.filter(s["gone"], lambda d: d < x["depth"])
+    def step(around: Column, x: Column) -> tuple[Column, Column]:
+        gone = F.filter(around, lambda d: d < x["depth"])
         hit = test(x) if recurse else test(x) & (F.size(gone) == x["depth"])
-        after = F.when(hit, F.concat(gone, F.array(x["depth"]))).otherwise(gone)
-        lifted = F.concat(s["out"], F.array(x.withField("depth", x["depth"] - F.size(gone))))
-        return F.struct(after.alias("gone"), F.when(hit, s["out"]).otherwise(lifted).alias("out"))
+        lifted = F.array(x.withField("depth", x["depth"] - F.size(gone)))
+        return F.when(hit, F.concat(gone, F.array(x["depth"]))).otherwise(gone), F.when(hit, empty()).otherwise(lifted)
 
-    return F.aggregate(seg, start, step, lambda s: s["out"])
+    return folded(seg, F.array().cast("array<int>"), step, SEGMENT)
 
 
-def promote_match(seg: Column, pattern: str | re.Pattern, factory: Callable[[Column], Column], recurse: bool = False) -> Column:
+def promote_match(seg: Column, pattern: str | re.Pattern, factory: Callable[..., Column], recurse: bool = False) -> Column:
     """Split each text at the pattern's matches and put ``factory(match)`` between the rest.
 
-    The factory makes an item, or an array of items whose depths count from its own place. Empty rests go; a text
-    without a match stays as it is, even if empty. What the factory makes is not searched again.
+    The factory makes an item, or an array of items whose depths count from its own place. It gets the matched text and,
+    if it takes two arguments, a function that gives a group by number or name (empty where it took no part). Empty
+    rests go; a text without a match stays as it is, even if empty. What the factory makes is not searched again.
     """
     p, level = java_pattern(pattern), within(recurse)
+    grouped = len(inspect.signature(factory).parameters) > 1
+    compiled = re.compile(pattern) if grouped else None
+    count = compiled.groups if grouped else 0
 
     def made(m: Column, depth: Column) -> Column:
-        out = factory(m)
+        group = lambda g: m[f"g{compiled.groupindex[g] if isinstance(g, str) else g}"]
+        out = factory(m["g0"], group) if grouped else factory(m["g0"])
         return F.transform(out, lambda y: y.withField("depth", y["depth"] + depth)).cast(SEGMENT)
 
+    def matches(text: Column) -> Column:
+        each = [F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias(f"g{g}") for g in range(count + 1)]
+        return F.arrays_zip(*each) if count else F.transform(each[0], lambda m: F.struct(m.alias("g0")))
+
     def split(x: Column) -> Column:
         rests = F.transform(F.split(x["text"], p, -1), lambda t: F.when(t != "", F.array(x.withField("text", t))).otherwise(empty()))
-        new = F.transform(F.regexp_extract_all(x["text"], F.lit(p), F.lit(0)), lambda m: made(m, x["depth"]))
+        new = F.transform(matches(x["text"]), lambda m: made(m, x["depth"]))
         return F.flatten(F.zip_with(rests, new, lambda r, n: F.concat(r, F.coalesce(n, empty()))))
 
     return F.flatten(F.transform(seg, lambda x: F.when(level(x) & is_text(x) & x["text"].rlike(p), split(x)).otherwise(F.array(x))))

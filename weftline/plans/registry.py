@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, encodings, markup, names, uris
-from ..operators import elements, normalize, text, transform, walk
+from ..operators import build, elements, normalize, text, transform, walk
 from ..operators.items import is_text
 from ..sources import tmx
 from . import virtual
@@ -293,3 +293,188 @@ def encoding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     given = F.when(k == 0, "UTF8").when(k == 1, "Latin-1").when(k == 2, "unicode").otherwise("klingon")
     return table(spark, sf_dir, "documents").select("doc_id", encodings.canonical(given).alias("encoding"))
+
+
+#: Items of the rich segments: place, kind, depth, then what each is expected to hold.
+_RICH = """
+rich(pos, kind, depth, shown, internal_id, external_id, type, position, association, data_type, extra) AS (VALUES
+  (0, 'text', 0, 'a<b #', NULL, NULL, NULL, NULL, NULL, NULL, ''), (1, 'bpt', 0, NULL, '#', 'n', 'bold', NULL, NULL, NULL, 'mine=#'), (2, 'sub', 1, NULL, NULL, NULL, 't', NULL, NULL, 'html', ''),
+  (3, 'text', 2, 'in sub', NULL, NULL, NULL, NULL, NULL, NULL, ''), (4, 'ept', 0, NULL, '#', NULL, NULL, NULL, NULL, NULL, ''), (5, 'it', 0, NULL, NULL, '7', 'x', 'begin', NULL, NULL, ''),
+  (6, 'ph', 0, NULL, NULL, '8', '#', NULL, 'p', NULL, ''), (7, 'text', 1, 'held', NULL, NULL, NULL, NULL, NULL, NULL, ''), (8, 'hi', 0, NULL, NULL, '9', 'mark', NULL, NULL, NULL, ''),
+  (9, 'hi', 1, NULL, NULL, NULL, 'inner', NULL, NULL, NULL, ''), (10, 'text', 2, '#', NULL, NULL, NULL, NULL, NULL, NULL, ''), (11, 'unknown', 0, '<own k="#">y</own>', NULL, NULL, NULL, NULL, NULL, NULL, ''),
+  (12, 'text', 0, ' tail', NULL, NULL, NULL, NULL, NULL, NULL, '')),
+filled AS (SELECT doc_id, pos, kind, depth, replace(shown, '#', doc_id::VARCHAR) AS shown, replace(internal_id, '#', doc_id::VARCHAR)::BIGINT AS internal_id,
+  CASE external_id WHEN 'n' THEN length(text) ELSE external_id::BIGINT END AS external_id, replace(type, '#', doc_id::VARCHAR) AS type, position, association, data_type, replace(extra, '#', doc_id::VARCHAR) AS extra FROM documents, rich)"""
+
+
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rich units, written and read again."""
+    return tmx.parse_units(virtual.rich_units(spark, sf_dir).select("unit_pos", markup.Writer().unit().alias("m")), "m")
+
+
+@query(f"WITH {_RICH} SELECT * FROM filled")
+def roundtrip_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each inline kind with its attributes, and an unknown element, through writer and parser."""
+    rows = _reread(spark, sf_dir).select(F.col("translation_unit_id").cast("long").alias("doc_id"), F.posexplode(F.col("variants")[0]["segment"]).alias("pos", "x"))
+    shown = F.when(F.col("x.kind") == "unknown", F.decode("x.payload", "UTF-8")).otherwise(F.col("x.text"))
+    extra = F.array_join(F.transform("x.extra", lambda e: F.concat(e["k"], F.lit("="), e["v"])), ",")
+    return rows.select("doc_id", "pos", "x.kind", "x.depth", shown.alias("shown"), *(f"x.{c}" for c in ("internal_id", "external_id", "type", "position", "association", "data_type")), extra.alias("extra"))
+
+
+_TIMES = "strftime(to_timestamp(1700000000 + doc_id) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ')"
+
+
+@query(f"""SELECT doc_id, 'utf-8|type ' || doc_id || '|' || length(text) || '|' || {_TIMES} || '|tool & <co>|' || doc_id || '|' || {_TIMES} || '|a"b' || doc_id || '|' || {_TIMES} || '|é|fmt' AS shared,
+'utf-8|type ' || doc_id || '|' || length(text) || '|' || {_TIMES} || '|tool & <co>|' || doc_id || '|' || {_TIMES} || '|a"b' || doc_id || '|' || {_TIMES} || '|é|fmt' AS of_variant,
+lang AS source_language, 'sentence' AS segmentation_type, lang AS language, 'mine=' || doc_id AS extra, 'mine=' || doc_id AS variant_extra, '<tail k="' || doc_id || '">x</tail>' AS nodes, '<odd k="' || doc_id || '">x</odd>' AS variant_nodes FROM documents""")
+def roundtrip_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attributes of units and variants, those that the model does not know, and unknown children, through writer and parser."""
+
+    def joined(row) -> F.col:
+        times = ("last_used_at", "created_at", "last_modified_at")
+        names_ = "original_encoding original_data_type usage_count last_used_at creation_tool creation_tool_version created_at created_by last_modified_at last_modified_by original_tm_format".split()
+        return F.concat_ws("|", *((coerce.from_time(row(c)) if c in times else row(c).cast("string")) for c in names_))
+
+    extra = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["k"], F.lit("="), e["v"])), ",")
+    nodes = lambda c: F.array_join(F.transform(c, lambda b: F.decode(b, "UTF-8")), "")
+    v = F.col("variants")[0]
+    return _reread(spark, sf_dir).select(
+        F.col("translation_unit_id").cast("long").alias("doc_id"), joined(F.col).alias("shared"), joined(lambda c: v[c]).alias("of_variant"), "source_language", "segmentation_type", v["language"].alias("language"),
+        extra(F.col("extra")).alias("extra"), extra(v["extra"]).alias("variant_extra"), nodes(F.col("extra_nodes")).alias("nodes"), nodes(v["extra_nodes"]).alias("variant_nodes"),
+    )
+
+
+@query("""WITH leaves(place, owner, node) AS (VALUES (0, 'unit', 'note'), (1, 'unit', 'prop'), (2, 'unit', 'prop'), (3, 'variant', 'note'), (4, 'variant', 'prop'))
+SELECT doc_id, place, owner, node, CASE node WHEN 'note' THEN 'note ' || doc_id ELSE 'prop & ' || doc_id END AS text, CASE node WHEN 'prop' THEN source END AS kind, CASE node WHEN 'note' THEN lang ELSE 'en' END AS language,
+CASE node WHEN 'note' THEN 'latin-1' END AS encoding, CASE node WHEN 'note' THEN 'mine=' || doc_id ELSE '' END AS extra, CASE node WHEN 'prop' THEN '<deep k="' || doc_id || '">x</deep>' ELSE '' END AS nodes FROM documents, leaves""")
+def roundtrip_notes_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and props of units and variants through writer and parser."""
+
+    def leaf(x, owner: str, node: str):
+        extra = F.array_join(F.transform(x["extra"], lambda e: F.concat(e["k"], F.lit("="), e["v"])), ",")
+        nodes = F.array_join(F.transform(x["extra_nodes"], lambda b: F.decode(b, "UTF-8")), "")
+        kind = x["kind"] if node == "prop" else F.lit(None).cast("string")
+        return F.struct(F.lit(owner).alias("owner"), F.lit(node).alias("node"), x["text"].alias("text"), kind.alias("kind"), x["language"].alias("language"), x["original_encoding"].alias("encoding"), extra.alias("extra"), nodes.alias("nodes"))
+
+    each = lambda rows, owner, node: F.transform(rows, lambda x: leaf(x, owner, node))
+    v = F.col("variants")[0]
+    all_ = F.concat(each(F.col("notes"), "unit", "note"), each(F.col("props"), "unit", "prop"), each(v["notes"], "variant", "note"), each(v["props"], "variant", "prop"))
+    return _reread(spark, sf_dir).select(F.col("translation_unit_id").cast("long").alias("doc_id"), F.posexplode(all_).alias("place", "x")).select("doc_id", "place", "x.*")
+
+
+_HEAD = "SELECT source, min(doc_id) AS id, count(*) AS units FROM documents WHERE source IS NOT NULL GROUP BY source"
+_SAID = "strftime(to_timestamp(1600000000 + id) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ')"
+_MEMORY = f"""SELECT source AS memory_id, '1.4' AS version, 't & c|' || id || '|block|f|en|de|d|utf-8|' || {_SAID} || '|me|' || {_SAID} || '|you' AS header, 'about ' || source AS notes, 'least id=' || id || ',least id=' || id AS props,
+'mine=' || id AS header_extra, '<x>1</x>' AS header_nodes, 'own=' || source AS extra, '<y>' || id || '</y>' AS nodes, units FROM ({_HEAD})"""
+
+
+def _memories(got: tmx.Memory) -> DataFrame:
+    h = F.col("header")
+    head = "creation_tool creation_tool_version segmentation_type original_translation_memory_format admin_language source_language original_data_type original_encoding created_at created_by last_modified_at last_modified_by".split()
+    extra = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["k"], F.lit("="), e["v"])), ",")
+    nodes = lambda c: F.array_join(F.transform(c, lambda b: F.decode(b, "UTF-8")), "")
+    rows = got.memories.select(
+        "memory_id", "version", F.concat_ws("|", *((coerce.from_time(h[c]) if c.endswith("_at") else h[c]) for c in head)).alias("header"), F.array_join(h["notes"]["text"], ",").alias("notes"),
+        F.array_join(F.transform(h["props"], lambda x: F.concat(x["kind"], F.lit("="), x["text"])), ",").alias("props"), extra(h["extra"]).alias("header_extra"), nodes(h["extra_nodes"]).alias("header_nodes"),
+        extra(F.col("extra")).alias("extra"), nodes(F.col("extra_nodes")).alias("nodes"),
+    )
+    return rows.join(got.units.groupBy("memory_id").agg(F.count("*").alias("units")), "memory_id")
+
+
+@query(_MEMORY)
+def roundtrip_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, one per source: headers, notes, props, unknown attributes and nodes, and the number of units."""
+    return _memories(tmx.parse_documents(virtual.written(spark, sf_dir), "content", "memory_id"))
+
+
+@query(_MEMORY)
+def roundtrip_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in another encoding."""
+    return _memories(tmx.parse_documents(virtual.written(spark, sf_dir, "UTF-16"), "content", "memory_id"))
+
+
+@query(f"""WITH m AS ({_HEAD}),
+own AS (SELECT source AS memory_id, 0 AS step, NULL::BIGINT AS unit_pos, unnest([0, 1, 2, 3]) AS place, unnest(['header', 'note', 'prop', 'prop']) AS node, unnest([NULL, NULL, 'least id', 'least id']) AS name, unnest([NULL, 'about ' || source, id::VARCHAR, id::VARCHAR]) AS text FROM m),
+of_units AS (SELECT source, 1, doc_id, unnest(range(7))::INTEGER, unnest(['unit', 'note', 'prop', 'prop', 'variant', 'note', 'prop']), unnest([doc_id::VARCHAR, NULL, source, source, NULL, NULL, source]), unnest([NULL, 'note ' || doc_id, 'prop & ' || doc_id, 'prop & ' || doc_id, NULL, 'note ' || doc_id, 'prop & ' || doc_id]) FROM documents WHERE source IS NOT NULL)
+SELECT * FROM own UNION ALL SELECT * FROM of_units""")
+def walk_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole memories walked: header, units, variants, their notes and props."""
+    memories, units = virtual.rich_memories(spark, sf_dir), virtual.rich_units(spark, sf_dir).where("memory_id IS NOT NULL")
+    return walk.walk_memory(memories, units, True).select("memory_id", "step", "unit_pos", "place", "node", "name", "text")
+
+
+@query("""SELECT doc_id, unnest(['prop', 'prop', 'prop']) AS node, unnest([NULL, NULL, 0]) AS variant_pos, unnest([0, 1, 0]) AS pos, source AS name FROM documents""")
+def walk_structure_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The props of a structural walk."""
+    walked = walk.walk_unit(F.col("notes"), F.col("props"), F.col("variants"), True)
+    rows = virtual.rich_units(spark, sf_dir).select(F.col("unit_pos").alias("doc_id"), F.explode(walk.walk_filtered(walked, lambda x: x["node"] == "prop")).alias("x"))
+    return rows.select("doc_id", "x.node", "x.variant_pos", "x.pos", "x.name")
+
+
+@query("SELECT doc_id, '<note>' || doc_id || '</note>' AS written, 'N' || doc_id AS loaded FROM documents")
+def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dumper of one's own for notes, then a loader of one's own for what it wrote."""
+    writer = markup.Writer()
+    writer.register_override("note", lambda x: F.concat(F.lit("<note>"), F.regexp_extract(x["text"], "([0-9]+)", 1), F.lit("</note>")))
+    rows = virtual.rich_units(spark, sf_dir).select(F.col("unit_pos").cast("string").alias("id"), writer.unit().alias("m"), writer.dumper("note")(F.col("notes")[0]).alias("written"))
+    empty = {"language": None, "original_encoding": None, "extra": [], "extra_nodes": []}
+    got = tmx.parse_units(rows, "m", "id", {"note": lambda e: {"text": f"N{e.text}", **empty}})
+    return got.select("memory_id", F.col("notes")[0]["text"].alias("loaded")).join(rows.select(F.col("id").alias("memory_id"), "written"), "memory_id").select(F.col("memory_id").cast("long").alias("doc_id"), "written", "loaded")
+
+
+@query("SELECT doc_id, doc_id::VARCHAR || '|b|' || length(text) AS set, NULL AS gone, 'a=1,i=' || doc_id || ',mine=' || doc_id || ',type=bold,x=' || length(text) AS map, 'new' AS text, ' and ' AS tail, 'text,bpt,ept,it,ph,hi,unknown,text,sub' AS kinds, 'hi' AS inner_kinds, 0 AS emptied FROM documents")
+def element_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes set, deleted and listed; texts and tails set; children listed, appended and cleared."""
+    rows = virtual.rich_units(spark, sf_dir).select(F.col("unit_pos").alias("doc_id"), F.col("variants")[0]["segment"].alias("s"))
+    x = F.get("s", F.lit(1))
+    changed = elements.set_attribute(elements.set_attribute(x, "type", "b"), "a", "1")
+    get = lambda e, name: elements.get_attribute(e, name)
+    pairs = F.array_sort(F.transform(F.map_entries(elements.attribute_map(elements.set_attribute(x, "a", "1"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    kinds = lambda seg: F.array_join(F.transform(seg, lambda c: c["kind"]), ",")
+    return rows.select(
+        "doc_id", F.concat_ws("|", get(changed, "i"), get(changed, "type"), get(changed, "x")).alias("set"), get(elements.delete_attribute(x, "mine"), "mine").alias("gone"), F.array_join(pairs, ",").alias("map"),
+        elements.get_text(elements.set_text(F.col("s"), 6, "new"), 6).alias("text"), elements.get_tail(elements.set_tail(F.col("s"), 8, " and "), 8).alias("tail"),
+        kinds(elements.iter_children(elements.append_child(F.col("s"), F.array(elements.create_element("sub", type="t"))))).alias("kinds"), kinds(elements.iter_children(F.col("s"), 8, "hi")).alias("inner_kinds"),
+        F.size(elements.iter_children(elements.clear(F.col("s"), 8), 8)).alias("emptied"),
+    )
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{urn:a}p' WHEN 1 THEN 'a:p' ELSE 'p' END || page_id AS name, 'p' || page_id AS local, CASE WHEN page_id % 3 < 2 THEN '{urn:a}' ELSE '' END || 'p' || page_id AS qualified,
+CASE WHEN page_id % 3 < 2 THEN 'a:' ELSE '' END || 'p' || page_id AS prefixed FROM pages""")
+def name_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in each notation, by a catalog from which other prefixes were dropped."""
+    catalog = names.Catalog({"b": "urn:a", "c": "urn:c", "d": "urn:c"})
+    catalog.drop_prefix("b")
+    catalog.drop_uri("urn:c")
+    catalog.gather(b'<r xmlns:a="urn:a"/>')
+    k = F.col("page_id") % 3
+    name = F.concat(F.when(k == 0, "{urn:a}p").when(k == 1, "a:p").otherwise("p"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name")).select("page_id", "name", *(catalog.shown(F.col("name"), n).alias(n) for n in ("local", "qualified", "prefixed")))
+
+
+@query("""WITH forms(form, ok) AS (VALUES ('http://u#:p@h/', true), ('http://h:#/', true), ('http://h:x#/', false), ('http://[::1]:#/', true), ('http://[::1/#', false), ('http://[v1.a:#]/', true), ('http://u@v@h/#', false),
+('urn:#', true), ('1urn:#', false), ('http://h/%4#', NULL), ('http://h/%zz#', false), ('http://h/a b#', false), ('mailto:a#@b', true), ('//h/#', false), ('http://h?q=#&r', true), ('http://h#f#', NULL))
+SELECT p_partkey, replace(form, '#', p_partkey::VARCHAR) AS uri, ok FROM part, forms WHERE ok IS NOT NULL""")
+def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User parts, ports, addresses in brackets, escapes and schemes, valid and not."""
+    forms = ("http://u#:p@h/", "http://h:#/", "http://h:x#/", "http://[::1]:#/", "http://[::1/#", "http://[v1.a:#]/", "http://u@v@h/#", "urn:#", "1urn:#", "http://h/%zz#", "http://h/a b#", "mailto:a#@b", "//h/#", "http://h?q=#&r")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, forms))).alias("form"))
+    return rows.select("p_partkey", F.replace("form", F.lit("#"), F.col("p_partkey").cast("string")).alias("uri")).withColumn("ok", uris.is_uri(F.col("uri")))
+
+
+@query("SELECT doc_id, list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '[\\p{L}\\p{N}_]{12}'))[1] AS long, len(regexp_extract_all(text, '[0-9]+'))::INTEGER AS numbers, array_to_string(list_transform(regexp_extract_all(text, '[0-9]+'), lambda m: m[1]), '') AS first FROM documents")
+def unicode_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of letters beyond ASCII; a factory that sees the groups of a match."""
+    rows = virtual.lines(spark, sf_dir)
+    made = transform.promote_match(F.col("segment"), r"(?P<the_first>[0-9])[0-9]*", lambda m, group: transform.node_with_text("ph", group("the_first"), type=m))
+    inner = F.transform(F.filter("made", lambda x: x["depth"] == 1), lambda x: x["text"])
+    return rows.select("doc_id", text.find(F.col("segment"), r"\w{12}").alias("long"), made.alias("made")).select("doc_id", "long", F.size(inner).alias("numbers"), F.array_join(inner, "").alias("first"))
+
+
+@query("SELECT doc_id, lang IN ('de', 'en', 'es', 'fr') AS known, CASE doc_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'sentence' END AS segtype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS encoding FROM documents")
+def enum_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enumerations, encodings and languages: inadmissible values become null."""
+    k, e = F.col("doc_id") % 3, F.col("doc_id") % 2
+    unit = build.unit(segmentation_type=F.when(k == 0, "block").when(k == 1, "sentence").otherwise("verse"), original_encoding=F.when(e == 0, "utf-8").otherwise("klingon"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").isin("de", "en", "es", "fr").alias("known"), unit.alias("u"))
+    return rows.select("doc_id", "known", F.col("u.segmentation_type").alias("segtype"), F.col("u.original_encoding").alias("encoding"))

@@ -38,8 +38,16 @@ MEMORY = f"struct<memory_id:string,version:string,header:{HEADER},{_EXTRA},{_NOD
 
 
 def ddl(struct: str) -> str:
-    """A struct type as a table schema."""
-    return struct.removeprefix("struct<").removesuffix(">")
+    """A struct type as a table schema: a space in place of the colon after each of its own fields."""
+    out, depth, field = [], 0, True
+    for c in struct.removeprefix("struct<").removesuffix(">"):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            field = True
+        elif c == ":" and field:
+            c, field = " ", False
+        out.append(c)
+    return "".join(out)
 
 
 #: Markup attribute -> column, by element.

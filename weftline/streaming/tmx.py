@@ -15,9 +15,9 @@ from pyspark.sql.types import StructType
 from ..errors import TmxError
 from ..functions.markup import Dumper, Writer
 from ..sources.parser import Override, Parser
-from ..sources.tmx import _START, END, _rows, epilogue, prolog, unit_schema
+from ..sources.tmx import _START, END, ODD, _rows, epilogue, prolog, unit_schema
 
-_ODD = re.compile(r"<!\[CDATA\[|<!--|</tu\s+>|<!ENTITY")
+_ODD = re.compile(ODD)
 
 
 def _files(overrides: Mapping[str, Override] | None, schema: StructType):
