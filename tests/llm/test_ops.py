@@ -343,7 +343,22 @@ def test_topk(spark):
         best = sorted((-int(ints[q] @ v), k) for k, v in ints.items() if k != q)[:5]
         want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
     assert got == want
-    assert topk.search(df.where("vec_id < 0"), df, 5).count() == 0
+    assert topk.search(df.where("vec_id < 0"), df, 5).count() == 0 and topk.search(df, df.where("vec_id < 0"), 5).count() == 0
+    large = df.select("vec_id", F.transform("embedding", lambda c: c * 1000.0).alias("embedding"))  # beyond 16 bits
+    assert topk.search(large, large.where("vec_id % 50 = 0"), 2).count() == 2 * len([k for k in ints if k % 50 == 0])
+
+
+def test_topk_with_many_blocks_and_pivots(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("QUERIES", 8), ("PER", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 3, (12, 8))
+    x = centres[rng.integers(0, 12, 900)] + rng.normal(0, 0.2, (900, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(256 * x).astype(np.int64)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 7 = 0"), 4).collect())
+    want = [(q, i + 1, k, -s) for q in range(0, 900, 7) for i, (s, k) in enumerate(sorted((-int(ints[q] @ ints[k]), k) for k in range(900) if k != q)[:4])]
+    assert got == want
 
 
 def test_quality(spark, clash):

@@ -4,13 +4,15 @@ Vectors are scaled to integers. One more coordinate, sqrt(M**2 - |x|**2) with M
 the largest length, gives all of them the same length, so that the largest inner
 product is the smallest distance. Each vector is keyed by its nearest pivot and
 its distance from it; sorted by that key, runs of vectors form blocks, each an
-annulus [near, far] around its pivot.
+annulus [near, far] around its pivot. Queries are sorted and cut into blocks alike,
+so that those of a block ask for much the same.
 
 A search first opens the annuli around each query's own place, which gives a
 bound r on the distance of its k-th best. By the triangle inequality a vector
 within r of q lies at a distance between d(q, p) - r and d(q, p) + r from its
-pivot p; only annuli that reach into that interval are opened then, each meeting
-whole blocks of queries. Scores are integers and exact.
+pivot p; only annuli that reach into that interval are opened then. Blocks are
+paired by their numbers alone; a block of queries then travels to each annulus that
+it opens, an annulus travels once. Scores are integers and exact.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import discard, materialise, width
 
-#: Bound of the sample that the pivots are chosen from, and their number.
-SAMPLE, PIVOTS = 1024, 16
-BLOCK, QUERIES = 512, 128
+#: Bound of the sample that the pivots are chosen from. There is a pivot for every PER vectors of the root of their number.
+SAMPLE, PIVOTS, PER = 1024, 16, 8
+BLOCK, QUERIES = 512, 256
 SCALE = 256
 
 
@@ -72,12 +74,13 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _keyed(pivots: np.ndarray, most: float, dims: int):
+def _keyed(pivots: np.ndarray, most: float, dims: int, more: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = _distances(_augmented(_matrix(batch.column(1), dims), most), pivots)
             near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near], pa.float64())], names=["vec_id", "x", "pivot", "far"])
+            columns = [batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near], pa.float64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "x", "pivot", "far", *more])
 
     return run
 
@@ -85,93 +88,91 @@ def _keyed(pivots: np.ndarray, most: float, dims: int):
 _BLOCKS = "block long, pivot int, near double, far double, ids binary, xs binary"
 
 
-def _blocks(size: int, dims: int):
+def _blocks(size: int, dims: int, kind: str, bounded: bool = False):
+    """Sorted rows in blocks of one pivot: ids and vectors as bytes (integers of ``kind``), and the bounds where there are any."""
+    fields = [("block", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.binary()), ("xs", pa.binary())]
+    schema = pa.schema([*fields, ("bounds", pa.binary())] if bounded else fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        rest = None
-        schema = pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.binary()), ("xs", pa.binary())])
+        part, made, rest = TaskContext.get().partitionId(), 0, None
 
-        def pack(ids, xs, pivot, far, last):
+        def pack(ids, xs, pivot, far, *bounds, last):
             nonlocal made
             rows, at = [], 0
             while at < len(ids):
                 end = at + int(np.searchsorted(pivot[at : at + size], pivot[at], "right"))
                 if end == len(ids) and end - at < size and not last:
                     break
-                rows.append(((part << 32) + made, int(pivot[at]), far[at], far[end - 1], ids[at:end].tobytes(), xs[at:end].tobytes()))
+                rows.append(((part << 32) + made, int(pivot[at]), far[at], far[end - 1], ids[at:end].tobytes(), xs[at:end].astype(kind).tobytes(), *(x[at:end].tobytes() for x in bounds)))
                 made, at = made + 1, end
             return rows, at
 
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            new = (batch.column(0).to_numpy(), _matrix(batch.column(1), dims), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            new = (batch.column(0).to_numpy(), _matrix(batch.column(1), dims), *(batch.column(k).to_numpy() for k in range(2, batch.num_columns)))
             rest = new if rest is None else tuple(np.concatenate(c) for c in zip(rest, new))
-            rows, at = pack(*rest, False)
+            rows, at = pack(*rest, last=False)
             rest = tuple(c[at:] for c in rest)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield batch_of(rows)
         if rest is not None and len(rest[0]):
-            rows, _ = pack(*rest, True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield batch_of(pack(*rest, last=True)[0])
 
     return run
 
 
-_ASKED = "qblock long, pivot int, low double, high double, ids binary, xs binary, bounds binary"
+def _reach(y: np.ndarray, most: float, bounds: np.ndarray) -> np.ndarray:
+    """The distance within which each query's better answers lie: |q|**2 + M**2 - 2 * score, widened against rounding."""
+    return np.sqrt(np.maximum(0, (y * y).sum(1) + most - 2 * bounds.astype(np.float64))) * (1 + 1e-9) + 1e-3
 
 
-def _ask(pivots: np.ndarray, most: float, dims: int, first: bool):
-    """Blocks of queries, and for each pivot the interval of distances that they need."""
-    schema = pa.schema([("qblock", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("xs", pa.binary()), ("bounds", pa.binary())])
+def _flat(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x.astype(np.float64), np.zeros((len(x), 1))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId() << 32, 0
+def _intervals(pivots: np.ndarray, most: float, dims: int, kind: str):
+    """For each block of queries and each pivot the interval of distances that some query needs; without bounds, its own pivot and the distances from it."""
+    schema = pa.schema([("qblock", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, QUERIES):
-                own = batch.slice(at, QUERIES)
-                ids, xs = own.column(0).to_numpy(), _matrix(own.column(1), dims)
-                y = np.hstack([xs.astype(np.float64), np.zeros((len(xs), 1))])
+            for block, own, xs, *bounds in zip(*(c.to_pylist() for c in batch.columns)):
+                y = _flat(np.frombuffer(xs, kind).reshape(-1, dims))
                 d = _distances(y, pivots)
-                if first:
-                    near = _distances(_augmented(xs, most), pivots).argmin(axis=1)
-                    bounds = np.full(len(ids), -(1 << 62), np.int64)
-                    groups = [(int(p), np.flatnonzero(near == p)) for p in np.unique(near)]
-                    lows = highs = d
-                else:
-                    bounds = own.column(2).to_numpy()
-                    # |q|**2 + M**2 - 2 * score, widened against rounding
-                    reach = np.sqrt(np.maximum(0, (y * y).sum(1) + most - 2 * bounds.astype(np.float64))) * (1 + 1e-9) + 1e-3
-                    lows, highs = d - reach[:, None], d + reach[:, None]
-                    groups = [(p, np.arange(len(ids))) for p in range(len(pivots))]
-                rows = [(part + made, p, lows[who, p].min(), highs[who, p].max(), ids[who].tobytes(), xs[who].tobytes(), bounds[who].tobytes()) for p, who in groups]
-                made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                which = np.arange(len(pivots)) if bounds else np.array([own])
+                reach = _reach(y, most, np.frombuffer(bounds[0], np.int64))[:, None] if bounds else 0.0
+                low, high = (d[:, which] - reach).min(axis=0), (d[:, which] + reach).max(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block] * len(which), which, low, high), schema)], schema=schema)
 
     return run
 
 
-def _score(pivots: np.ndarray, most: float, dims: int, k: int):
+def _score(pivots: np.ndarray, most: float, dims: int, k: int, kind: str):
     """The k best of a block for each query of a block whose interval the annulus reaches."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qi, qx, qb, pivot, near, far, ids, xs in zip(*(c.to_pylist() for c in batch.columns)):
-                q, v = np.frombuffer(qi, np.int64), np.frombuffer(ids, np.int64)
-                qx, vx, bound = np.frombuffer(qx, np.int64).reshape(-1, dims), np.frombuffer(xs, np.int64).reshape(-1, dims), np.frombuffer(qb, np.int64)
-                y = np.hstack([qx.astype(np.float64), np.zeros((len(qx), 1))])
-                d = _distances(y, pivots[pivot : pivot + 1])[:, 0]
-                reach = np.sqrt(np.maximum(0, (y * y).sum(1) + most - 2 * bound.astype(np.float64))) * (1 + 1e-9) + 1e-3
-                need = np.flatnonzero((d - reach <= far) & (d + reach >= near))
+            for pivot, near, far, ids, xs, qi, qx, *qb in zip(*batch.columns):
+                pivot, near, far = pivot.as_py(), near.as_py(), far.as_py()
+                q, v = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ids.as_py(), np.int64)
+                qx, vx = (np.frombuffer(x.as_py(), kind).reshape(-1, dims).astype(np.int64) for x in (qx, xs))
+                least = np.frombuffer(qb[0].as_py(), np.int64) if qb else np.full(len(q), -(1 << 62))
+                need = np.arange(len(q))
+                if qb:
+                    y = _flat(qx)
+                    d, reach = _distances(y, pivots[pivot : pivot + 1])[:, 0], _reach(y, most, least)
+                    need = np.flatnonzero((d - reach <= far) & (d + reach >= near))
                 if not len(need):
                     continue
                 s = _products(qx[need], vx)
                 out = {"query_id": [], "vec_id": [], "score": []}
-                for row, own, least in zip(s, q[need], bound[need]):
-                    ok = np.flatnonzero((row >= least) & (v != own))
+                for row, own, bound in zip(s, q[need], least[need]):
+                    ok = np.flatnonzero((row >= bound) & (v != own))
                     if len(ok) > k:
                         kth = -np.partition(-row[ok], k - 1)[k - 1]
                         ok = ok[row[ok] >= kth]
@@ -203,33 +204,46 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     every = _scaled(vectors, id_col, vec_col, scale).distinct()
     rank = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
     every = materialise(every.withColumn("copy", rank).where(F.col("copy") <= k + 1).select("vec_id", "x"), "vectors")
+    asked = materialise(asked, "queries")
     square = F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
-    most, dims = every.agg(F.max(square), F.max(F.size("x"))).first()
-    if not dims:
+    largest = F.aggregate("x", F.lit(0).cast("long"), lambda s, c: F.greatest(s, F.abs(c)))
+    (most, dims, top, count), (widest, highest) = every.agg(F.max(square), F.max(F.size("x")), F.max(largest), F.count("*")).first(), asked.agg(F.max(F.size("x")), F.max(largest)).first()
+    if not dims or not widest:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims, top = max(dims, widest), max(top, highest)
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()
-    pivots = choose_pivots(_augmented(_matrix(sample.column(0).combine_chunks(), dims), most), PIVOTS)
+    pivots = choose_pivots(_augmented(_matrix(sample.column(0).combine_chunks(), dims), most), min(SAMPLE, max(PIVOTS, int(count**0.5) // PER)))
 
-    keyed = every.mapInArrow(_keyed(pivots, most, dims), "vec_id long, x array<long>, pivot int, far double")
-    keyed = keyed.repartitionByRange(n, "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id")
-    index = materialise(keyed.mapInArrow(_blocks(BLOCK, dims), _BLOCKS), "annuli")
+    def sorted_(rows: DataFrame, parts: int, *more: str) -> DataFrame:
+        placed = rows.select("vec_id", "x", *more).mapInArrow(_keyed(pivots, most, dims, more), "vec_id long, x array<long>, pivot int, far double" + "".join(f", {c} long" for c in more))
+        return placed.repartitionByRange(parts, "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id")
+
+    index = materialise(sorted_(every, n).mapInArrow(_blocks(BLOCK, dims, kind), _BLOCKS), "annuli")
+    discard(every)
     annuli = index.select("block", "pivot", "near", "far")
 
-    def run(qs: DataFrame, first: bool) -> DataFrame:
-        blocks = materialise(qs.mapInArrow(_ask(pivots, most, dims, first), _ASKED), "asked")
-        wanted = blocks.select("qblock", F.col("pivot").alias("p"), "low", "high").join(annuli, F.col("p") == F.col("pivot"))
-        if first:
-            # the annulus that holds, or lies nearest to, the query block's distance from the pivot
+    def run(qs: DataFrame, bounded: bool) -> DataFrame:
+        more = ("bound",) if bounded else ()
+        asking = sorted_(qs, max(1, n // 4), *more).mapInArrow(_blocks(QUERIES, dims, kind, bounded), _BLOCKS + ", bounds binary" * bounded)
+        asking = materialise(asking.withColumnRenamed("block", "qblock"), "asking")
+        columns = ("xs", "bounds") if bounded else ("xs",)
+        wanted = asking.select("qblock", "pivot", *columns).mapInArrow(_intervals(pivots, most, dims, kind), "qblock long, pivot int, low double, high double")
+        wanted = wanted.select("qblock", F.col("pivot").alias("p"), "low", "high").join(annuli, F.col("p") == F.col("pivot"))
+        if bounded:
+            wanted = wanted.where("far >= low AND near <= high")
+        else:
+            # the annuli that hold, or lie nearest to, the query block's distances from its pivot
             gap = F.greatest(F.col("near") - F.col("high"), F.col("low") - F.col("far"), F.lit(0.0))
-            near = Window.partitionBy("qblock", "p").orderBy(gap, "block")
+            middle = F.abs(F.col("near") + F.col("far") - F.col("low") - F.col("high"))
+            near = Window.partitionBy("qblock").orderBy(gap, middle, "block")
             wanted = wanted.withColumn("turn", F.row_number().over(near)).where("turn <= 2")
-        else:
-            wanted = wanted.where("far >= low AND near <= high")
-        pairs = wanted.select("qblock", "p", "block").join(blocks.select("qblock", F.col("pivot").alias("p"), F.col("ids").alias("qi"), F.col("xs").alias("qx"), F.col("bounds").alias("qb")), ["qblock", "p"]).join(index, "block")
-        pairs = pairs.repartition(n, "block", "qblock").select("qi", "qx", "qb", "pivot", "near", "far", "ids", "xs")
-        return _best(pairs.mapInArrow(_score(pivots, most, dims, k), "query_id long, vec_id long, score long"), k)
+        pairs = wanted.select("qblock", "block")
+        carried = asking.select("qblock", F.col("ids").alias("qi"), F.col("xs").alias("qx"), *(("bounds",) if bounded else ()))
+        # the queries of a block travel to the annuli that it opens; an annulus is joined where it lies
+        met = pairs.join(carried, "qblock").join(index.hint("merge"), "block").select("pivot", "near", "far", "ids", "xs", "qi", "qx", *(("bounds",) if bounded else ()))
+        return _best(met.mapInArrow(_score(pivots, most, dims, k, kind), "query_id long, vec_id long, score long"), k)
 
-    spread = asked.repartition(max(1, n // 4), "vec_id")
-    bounds = run(spread, True).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    bounds = run(asked, False).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     known = asked.join(bounds, asked.vec_id == bounds.query_id, "left").select("vec_id", "x", F.coalesce("bound", F.lit(-(1 << 62))).alias("bound"))
-    return run(known.repartition(max(1, n // 4), "vec_id"), False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return run(known, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
