@@ -64,6 +64,18 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in after if r.piece == 0) == Counter(r.doc_id for r in before)
 
 
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    from weftline.llm.common import standing, sweep
+
+    spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    before = standing()
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
+    names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in standing() - before}
+    assert "mixing" in names and not names & {"language_id", "simhash_near_dedup", "pii", "boxed", "candidates", "placed"}
+    sweep(spark, since=before)
+    assert standing() == before
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES:

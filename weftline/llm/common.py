@@ -54,10 +54,15 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete every intermediate table of this process but ``keep``: for when the results that read them are written."""
+def standing() -> frozenset[str]:
+    """Paths of the intermediate tables of this process that still stand."""
+    return frozenset(_written)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> None:
+    """Delete the intermediate tables of this process but ``keep`` and those ``since`` names: for when the results that read them are written."""
     spared = {getattr(df, "_weftline_path", None) for df in keep}
-    for path in _written - spared:
+    for path in _written - spared - since:
         _delete(spark, path)
 
 
