@@ -73,7 +73,7 @@ def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
     names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in standing() - before}
     assert "mixing" in names and not names & {"language_id", "simhash_near_dedup", "pii", "boxed", "candidates", "placed"}
     sweep(spark, since=before)
-    assert standing() == before
+    assert standing() <= before
 
 
 def test_empty(spark):

@@ -1,0 +1,142 @@
+"""The registered queries without SQL, on the smallest tables: each column against a version by hand."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from weftline.llm import pii, queries
+
+DATA = os.environ.get("WEFTLINE_DATA", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return sorted(spark.read.parquet(f"{DATA}/documents.parquet").collect(), key=lambda r: r.doc_id)
+
+
+def held(doc_id: int, modulus: int, rest: int) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % modulus == rest
+
+
+def test_op3_packing(spark, docs):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs}
+    rows = queries.op3_packing(spark, DATA).collect()
+    want = {}
+    for d, own in ids.items():
+        n, at, piece = len(own), 0, 0
+        size = n if n <= 2048 else n % 2048 or 2048
+        while at < n:
+            want[d, piece] = (at, size, zlib.crc32(np.array(own[at : at + size], "<u4").tobytes()))
+            at, piece, size = at + size, piece + 1, 2048
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
+    assert len(bins) <= 1.03 * -(-sum(map(len, ids.values())) // 2048) + 1
+
+
+def test_op4_simhash(spark, docs):
+    import xxhash
+
+    bits = {}
+    for r in docs:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
+        bits[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {d: d for d in bits}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in bits:
+        for b in bits:
+            if a < b and (bits[a] ^ bits[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op4_simhash(spark, DATA).collect()}
+    assert got == {d: (f"{b:016x}", find(d)) for d, b in bits.items()}
+
+
+def test_op6_quality(spark, docs):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    rows = queries.op6_quality(spark, DATA).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs)
+    assert all(r.held_out == held(r.doc_id, 3, 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in judged) >= 0.8 * len(judged)
+
+
+def test_op7_pii(spark, docs):
+    from .test_ops import base_spans
+
+    text = {r.doc_id: r.text or "" for r in docs}
+    names = [k.name for k in pii.KINDS]
+    for r in queries.op7_pii(spark, DATA).collect():
+        want = base_spans(text[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+        listed = [f"{names[k]}:{a}:{b}" for a, k, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert [":".join(s) for s in spans if s[0] in names[:4]] == listed
+        assert spans == sorted(spans, key=lambda s: (int(s[1]), names.index(s[0])))
+
+
+def test_op8_language_id(spark, docs):
+    lang = {r.doc_id: r.lang for r in docs}
+    rows = queries.op8_language_id(spark, DATA).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(lang)
+    letters = {r.doc_id: any(c.isalpha() for c in r.text or "") for r in docs}
+    assert all(r.held_out == held(r.doc_id, 4, 2) and 0 <= r.score <= 1 and (r.lang_pred == "und") == (not letters[r.doc_id]) for r in rows)
+    judged = [(r.lang_pred, lang[r.doc_id]) for r in rows if r.held_out and letters[r.doc_id] and lang[r.doc_id]]
+    assert sum(a == b for a, b in judged) >= 0.9 * len(judged)
+
+
+def test_op9_fingerprints(spark, docs):
+    cut = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())([x for x in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x])
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    order = sorted(docs, key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, DATA).collect()}
+    by_text = defaultdict(set)
+    for k, r in enumerate(order):
+        text, after = r.text or "", order[(k + 1) % len(order)].text or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own = got[r.doc_id]
+        assert own.n_chars == len(text) and own.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(own.near_edited - like(cut(text), cut(edited))) < 1e-9 and abs(own.near_next - like(cut(text), cut(after))) < 1e-9
+        by_text[text].add(own.fingerprint)
+        by_text[edited].add(own.edited_fingerprint)
+    assert all(len(f) == 1 for f in by_text.values())
+
+
+def test_op10_mixing(spark, docs):
+    rows = queries.op10_mixing(spark, DATA).collect()
+    assert rows == queries.op10_mixing(spark, DATA).collect() or sorted(map(str, rows)) == sorted(map(str, queries.op10_mixing(spark, DATA).collect()))
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    totals, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        assert r["size"] == size[r.doc_id] and r.taken <= 2 * r["size"]
+        totals[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(r.source_size == totals[source[r.doc_id]] for r in rows)
+    assert abs(sum(target.values()) - min(1.5 * sum(size.values()), 2 * sum(size.values()))) < 1e-3
+    longest = {s: max(size[d] for d in size if source[d] == s) for s in totals}
+    assert all(abs(taken[s] - target[s]) <= max(0.02 * target[s], longest[s] / 2) for s in totals)

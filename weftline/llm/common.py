@@ -60,10 +60,12 @@ def standing() -> frozenset[str]:
 
 
 def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> None:
-    """Delete the intermediate tables of this process but ``keep`` and those ``since`` names: for when the results that read them are written."""
-    spared = {getattr(df, "_weftline_path", None) for df in keep}
-    for path in _written - spared - since:
-        _delete(spark, path)
+    """Delete the intermediate tables of this process but ``keep``, what these read, and those ``since`` names: for when the results that read them are written."""
+    read = [f for df in keep for f in df.inputFiles()]
+    for path in _written - since:
+        folder = f"/{path.rpartition('/')[2]}/"
+        if not any(folder in f for f in read):
+            _delete(spark, path)
 
 
 def width(spark: SparkSession, least: int = 2) -> int:
