@@ -90,15 +90,21 @@ def links(bits: DataFrame) -> DataFrame:
     return pairs.unionByName(met.select("u", "v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node ``u`` has one edge and is no other edge's ``v``: the ``v`` are the roots then."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    return not (nodes.agg(F.max(F.col("out") > 1 - F.col("into"))).first()[0] or False)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component, for each node that has an edge ``u, v``.
 
-    Alternates large-star and small-star steps (map-reduce connected components) until a round changes nothing.
+    Alternates large-star and small-star steps (map-reduce connected components) until only stars are left.
     Each round is written to the shared folder.
     """
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -106,16 +112,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(large)
         discard(now)
         now = after
-        if mark == before:
-            break
-        before = mark
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
