@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, width
+from .common import discard, materialise, running, width
 
 CAPACITY = 2048
 #: Pieces of a range, about: what a task keeps waiting, however many pieces there are.
@@ -172,17 +172,20 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: boo
     return rows.mapInArrow(_cut(path, capacity, keep_ids, ordinary), _PIECES)
 
 
-_SWEPT = "tag string, range int, rank long, id long, size long, home long, at long"
+_SWEPT = "tag string, range int, rank long, id long, size long, home long, at long, facts array<long>"
+#: What the driver learns of a range: numbers in its row of tag S.
+_FACTS = ("placed", "pieces", "longest", "shortest", "length", "halves", "gaps", "least_gap", "room")
 
 
 def _sweep(capacity: int):
-    """Within one range, sorted upwards with pieces before gaps of their size: A placed, I waiting, G untouched gap, N shrunk gap."""
-    schema = pa.schema([("tag", pa.string()), ("range", pa.int32()), ("rank", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("home", pa.int64()), ("at", pa.int64())])
+    """Within one range, sorted upwards with pieces before gaps of their size: A placed, I waiting, G untouched gap, N shrunk gap; at last one row S of the range's facts."""
+    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64()))
+    schema = pa.schema(list(zip([c.split()[0] for c in _SWEPT.split(", ")], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, waiting, untouched = TaskContext.get().partitionId(), [], 0
+        own, waiting, untouched, placed, least_gap, room = TaskContext.get().partitionId(), [], 0, 0, 0, 0
         out: list[tuple] = []
 
         def batch_of(rows):
@@ -192,26 +195,33 @@ def _sweep(capacity: int):
             for gap, key, size in zip(*(c.to_pylist() for c in batch.select(["gap", "id", "size"]).columns)):
                 if not gap:
                     waiting.append((key, size))
-                elif not waiting:
-                    out.append(("G", own, untouched, key, size, None, None))
+                    continue
+                left = size
+                if not waiting:
+                    out.append(("G", own, untouched, key, size, None, None, None))
+                    least_gap = least_gap or size
                     untouched += 1
                 else:
-                    left = size
                     while waiting and waiting[-1][1] <= left:
                         piece, n = waiting.pop()
-                        out.append(("A", own, None, piece, n, key, capacity - left))
+                        out.append(("A", own, None, piece, n, key, capacity - left, None))
                         left -= n
-                    out.append(("N", own, None, key, left, None, None))
+                        placed += 1
+                    out.append(("N", own, None, key, left, None, None, None))
+                room += left
             if out:
                 yield batch_of(out)
                 out = []
         for rank, (key, size) in enumerate(reversed(waiting)):
-            out.append(("I", own, rank, key, size, None, None))
+            out.append(("I", own, rank, key, size, None, None, None))
             if len(out) == 50_000:
                 yield batch_of(out)
                 out = []
-        if out:
-            yield batch_of(out)
+        if waiting or untouched or placed or room:
+            sizes = [size for _, size in waiting]
+            halves = sum(size * 2 > capacity for size in sizes)
+            facts = [placed, len(sizes), max(sizes, default=0), min(sizes, default=capacity), sum(sizes), halves, untouched, least_gap, room]
+            yield batch_of([*out, ("S", own, None, None, None, None, None, facts)])
 
     return run
 
@@ -261,55 +271,44 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         sorted_ = state.repartitionByRange(n, "size", "gap", "id").sortWithinPartitions("size", "gap", "id")
         swept = materialise(sorted_.mapInArrow(_sweep(capacity), _SWEPT), "swept")
         is_ = lambda tag: F.col("tag") == tag
-        ranges = swept.groupBy("range").agg(
-            F.count_if(is_("A")).alias("placed"),
-            F.count_if(is_("I")).alias("pieces"),
-            F.coalesce(F.max(F.when(is_("I"), F.col("size"))), F.lit(0)).alias("longest"),
-            F.coalesce(F.min(F.when(is_("I"), F.col("size"))), F.lit(capacity)).alias("shortest"),
-            F.coalesce(F.sum(F.when(is_("I"), F.col("size"))), F.lit(0)).alias("length"),
-            F.count_if(is_("I") & (F.col("size") * 2 > capacity)).alias("halves"),
-            F.count_if(is_("G")).alias("gaps"),
-            F.coalesce(F.min(F.when(is_("G"), F.col("size"))), F.lit(0)).alias("least_gap"),
-            F.coalesce(F.sum(F.when(is_("G") | is_("N"), F.col("size"))), F.lit(0)).alias("room"),
-        )
-        ranges = [r.asDict() for r in ranges.orderBy("range").collect()]  # as many rows as partitions
+        found = swept.where(is_("S")).select("range", "facts").collect()  # one row a range
+        ranges = sorted(({"range": r.range, **dict(zip(_FACTS, r.facts))} for r in found), key=lambda r: r["range"])
         least = min(r["shortest"] for r in ranges)
         deals, opens, _ = _settle(ranges, capacity)
-        waiting = swept.where(is_("I"))
-        plan = spark.createDataFrame(opens or [(-1, 0, 0)], "range int, used long, seeds long")
-        waiting = waiting.join(F.broadcast(plan), "range")  # plan and deals: a few rows for each partition
-        seeded = waiting.where((F.col("rank") >= F.col("used")) & (F.col("rank") < F.col("used") + F.col("seeds")))
-        rest = waiting.where(F.col("rank") >= F.col("used") + F.col("seeds"))
+        taken = {}
+        for gap_range, first, _, _, n, each in deals:
+            taken[gap_range] = first + -(-n // each)
+        opens = {r: (used, seeds) for r, used, seeds in opens}
+        plan = [(r["range"], *opens.get(r["range"], (0, 0)), taken.get(r["range"], 0)) for r in ranges]
+        plan = F.broadcast(spark.createDataFrame(plan, "range int, used long, seeds long, taken long"))  # plan and deals: a few rows for each partition
+        swept_on = swept.where(~is_("S")).join(plan, "range")
         none = F.lit(None).cast("long")
-        item = lambda d, tag, key, size, home=none, at=none: d.select(F.lit(tag).alias("tag"), F.col(key).alias("id"), size.alias("size"), home.alias("home"), at.alias("at"))
-        out = [
-            item(swept.where(is_("A")), "A", "id", F.col("size"), F.col("home"), F.col("at")),
-            item(seeded, "A", "id", F.col("size"), F.col("id"), F.lit(0).cast("long")),
-            item(seeded, "G", "id", F.lit(capacity) - F.col("size")),
-            item(rest, "I", "id", F.col("size")),
-            item(swept.where(is_("N")), "G", "id", F.col("size")),
-        ]
-        untouched = swept.where(is_("G")).select("range", "rank", F.col("id").alias("bin"), F.col("size").alias("room"))
+        item = lambda tag, key, size, home=none, at=none: F.struct(F.lit(tag).alias("tag"), F.col(key).alias("id"), size.alias("size"), home.alias("home"), at.alias("at"))
+        dealt_out = is_("I") & (F.col("rank") < F.col("used")) | is_("G") & (F.col("rank") < F.col("taken"))
+        seeded = [item("A", "id", F.col("size"), F.col("id"), F.lit(0).cast("long")), item("G", "id", F.lit(capacity) - F.col("size"))]
+        items = (
+            F.when(is_("A"), F.array(item("A", "id", F.col("size"), F.col("home"), F.col("at"))))
+            .when(is_("I") & (F.col("rank") < F.col("used") + F.col("seeds")), F.array(*seeded))
+            .when(is_("I"), F.array(item("I", "id", F.col("size"))))
+            .otherwise(F.array(item("G", "id", F.col("size"))))
+        )
+        after = swept_on.where(~dealt_out).select(F.inline(items))
         if deals:
             dealt = spark.createDataFrame(deals, "gap_range int, first_gap long, range int, first long, n long, each long")
-            chosen = waiting.where(F.col("rank") < F.col("used")).join(F.broadcast(dealt), "range").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
-            chosen = chosen.select("id", "size", "rank", "gap_range", (F.col("first_gap") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long").alias("gap_rank"))
-            met = untouched.join(chosen.groupBy("gap_range", "gap_rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("r"), "id", "size"))).alias("own")), (F.col("gap_range") == F.col("range")) & (F.col("gap_rank") == untouched["rank"]), "left")
-            fill = F.coalesce(F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x.size), F.lit(0).cast("long"))
-            out.append(item(met, "G", "bin", F.col("room") - fill))
+            chosen = swept_on.where(is_("I") & dealt_out).join(F.broadcast(dealt), "range").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+            gap_rank = (F.col("first_gap") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long")
+            chosen = chosen.select("gap_range", gap_rank.alias("gap_rank"), F.struct("rank", "id", "size").alias("piece"), none.alias("bin"), none.alias("room"))
+            open_ = swept_on.where(is_("G") & dealt_out).select(F.col("range").alias("gap_range"), F.col("rank").alias("gap_rank"), F.lit(None).cast("struct<rank:bigint,id:bigint,size:bigint>").alias("piece"), F.col("id").alias("bin"), F.col("size").alias("room"))
             # a gap takes at most capacity pieces, so its list is bounded
-            inside = met.where("own IS NOT NULL").select("bin", "room", "own", F.posexplode("own").alias("k", "x"))
-            before = F.aggregate(F.slice("own", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x.size)
-            out.append(inside.select(F.lit("A").alias("tag"), F.col("x.id").alias("id"), F.col("x.size").alias("size"), F.col("bin").alias("home"), (F.lit(capacity) - F.col("room") + before).alias("at")))
-        else:
-            out.append(item(untouched, "G", "bin", F.col("room")))
-        after = out[0]
-        for more in out[1:]:
-            after = after.unionByName(more)
+            met = chosen.unionByName(open_).groupBy("gap_range", "gap_rank").agg(F.max("bin").alias("bin"), F.max("room").alias("room"), F.sort_array(F.collect_list("piece")).alias("own"))
+            met = met.withColumn("upto", running(F.transform("own", lambda x: x.size), lambda x, y: x + y))
+            inside = F.zip_with("own", "upto", lambda x, upto: F.struct(F.lit("A").alias("tag"), x.id.alias("id"), x.size.alias("size"), F.col("bin").alias("home"), (F.lit(capacity) - F.col("room") + upto - x.size).alias("at")))
+            shrunk = F.array(item("G", "bin", F.col("room") - F.element_at("upto", -1)))
+            after = after.unionByName(met.select(F.inline(F.concat(inside, shrunk))))
         after = materialise(after.where((F.col("tag") != "G") | (F.col("size") >= least)), "packed")
         done.append(after.where(is_("A")).select(F.col("id").alias("uid"), "home", "at"))
         state = after.where(F.col("tag") != "A").select(is_("G").alias("gap"), "id", "size")
-        left = after.where(is_("I")).count()
+        left = sum(r["pieces"] for r in ranges) - sum(used + seeds for used, seeds in opens.values())
         discard(swept)
     placed = done[0]
     for more in done[1:]:
