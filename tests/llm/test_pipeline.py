@@ -87,3 +87,32 @@ def test_extra_columns_are_carried(spark):
     for _, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == [*COLUMNS, "size", "_keep", "uid", "score"]
+
+
+def test_encoder_keeps_a_whole_word_once():
+    from weftline.llm import packing
+
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    import pyarrow as pa
+
+    texts = ["plain words only", "words, with signs; words, again"]
+    got = [ids.tolist() for ids in encoder.encode(pa.array(texts))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not set(encoder.parts) & {"plain", " only", " with", " again"} and " words" in encoder.parts
+
+
+def test_batches_are_bounded_while_tables_are_written(spark):
+    from weftline.llm.common import batches_of, materialise
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    with batches_of(spark, 100):
+        found = materialise(spark.range(1000).coalesce(1).mapInArrow(sizes, "n long"), "sizes")
+    assert max(r.n for r in found.collect()) <= 100 and spark.conf.get(name) == before

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,30 @@ def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozens
             _delete(spark, path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside hand Python at most ``rows`` rows at a time, so that neither side holds more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trim() -> None:
+    """Give the memory this Python worker has freed back to the system; allocators keep it otherwise while the worker idles."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def width(spark: SparkSession, least: int = 2) -> int:
     """Number of shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

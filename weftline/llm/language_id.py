@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 HIDDEN = 8
 #: Bytes labelled in a window, and bytes read before and after them.
 CORE, EDGE = 480, 16
@@ -196,5 +198,6 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
                 columns = [part.column(i) for i, f in enumerate(part.schema) if f.name != "_body"]
                 names = [f.name for f in part.schema if f.name != "_body"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            trim()
 
     return rows.mapInArrow(run, out_schema)

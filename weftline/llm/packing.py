@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, running, width
+from .common import batches_of, discard, materialise, running, trim, width
 
 CAPACITY = 2048
 #: Pieces of a range, about: what a task keeps waiting, however many pieces there are.
 RANGE = 200_000
+#: Rows that a worker encodes at a time.
+SLICE = 2560
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -73,18 +75,22 @@ class WordEncoder:
 
         return array("I", ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str, keep: bool = True) -> bytes:
         """Ids of one pre-token: the model alone, without the pipeline around it."""
         signs = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
-        found = self.parts[part] = self.pack([t.id for t in self.merge(signs)])
+        found = self.pack([t.id for t in self.merge(signs)])
+        if keep:
+            self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
         # an apostrophe may begin a contraction, and tables of letters differ outside the Latin blocks
         if "'" in word or not word.isascii() and max(word) > "ɏ":
             return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        get = self.parts.get
-        return b"".join([get(p) or self._part(p) for p in self.split(word)])
+        get, parts = self.parts.get, self.split(word)
+        if len(parts) == 1:  # remembered as a word
+            return get(word) or self._part(word, False)
+        return b"".join([get(p) or self._part(p) for p in parts])
 
     def _known(self, memory: dict[str, bytes], words: list[str], prefix: str) -> list[bytes]:
         if len(self.parts) > 2 * self.most:
@@ -141,8 +147,8 @@ def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool):
             _encoders[path, ordinary] = WordEncoder(path, ordinary)
         encoder = _encoders[path, ordinary]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2560):
-                part, out = batch.slice(at, 2560), {k: [] for k in schema.names}
+            for at in range(0, batch.num_rows, SLICE):
+                part, out = batch.slice(at, SLICE), {k: [] for k in schema.names}
                 texts = pc.fill_null(part.column(1), "")
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     raw = ids.astype("<u4").tobytes() + b"\0\0\0\0"
@@ -158,6 +164,7 @@ def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool):
                         yield pa.RecordBatch.from_pydict(out, schema=schema)
                         out = {k: [] for k in schema.names}
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
+                trim()
 
     return run
 
@@ -323,6 +330,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
     broken by row. An empty table gives no rows. Other columns are not read.
     """
     pieces = tokenise(docs, path, capacity, keep_ids, id_col, text_col, ordinary).withColumn("uid", F.monotonically_increasing_id())
-    pieces = materialise(pieces, "pieces")
+    with batches_of(pieces.sparkSession, SLICE):
+        pieces = materialise(pieces, "pieces")
     placed = place(pieces.select("uid", "length"), capacity)
     return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "ids", F.col("home").alias("sequence_id"), F.col("at").alias("offset"))
