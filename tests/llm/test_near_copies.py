@@ -117,3 +117,31 @@ def test_crowd_about_the_limit(spark):
     for i, x in enumerate(low):
         want.setdefault(x, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 1 < len(want) < 120
+
+
+def test_candidates_come_from_simhash_tables(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, "a b c d e f")], "rid long, text string")
+    roots = dict(near_copies.grouped(rows).select("rid", "root").collect())
+    assert roots[1] == roots[2] != roots[3]
+    monkeypatch.setattr(near_copies.simhash, "tables", lambda rows, similarity: np.zeros((0, 16), np.int64))
+    roots = dict(near_copies.grouped(rows).select("rid", "root").collect())
+    assert len(set(roots.values())) == 3
+
+
+def test_tables_find_pairs_at_the_limit():
+    """Recall of the tables on random pairs of sets at 0.8 exactly, for few rows and for many."""
+    rng, one, two = np.random.default_rng(3), [], []
+    for k in range(400):
+        common = 8 * (3 + k % 40)  # as many more in each as an eighth of what both have
+        pool = rng.integers(0, 1 << 63, common + common // 4, np.uint64)
+        one.append(np.sort(pool[: common + common // 8]))
+        two.append(np.sort(np.concatenate((pool[:common], pool[common + common // 8 :]))))
+    a, b = near_copies.simhash.wide(one), near_copies.simhash.wide(two)
+    assert (a[:, : near_copies.simhash.FIRST] != b[:, : near_copies.simhash.FIRST]).sum(axis=1).max() <= near_copies.FAR
+    for rows in (1000, 250_000):
+        places = near_copies.simhash.tables(rows, 0.8)
+        met = (near_copies.simhash.table_keys(a, places) == near_copies.simhash.table_keys(b, places)).any(axis=1)
+        unlike = (near_copies.simhash.table_keys(a, places) == near_copies.simhash.table_keys(np.roll(b, 1, axis=0), places)).mean()
+        print(rows, places.shape, met.mean(), unlike)
+        assert met.mean() >= 0.98 and unlike < 1e-4

@@ -1,13 +1,15 @@
-"""Near copies by exact shingle similarity: groups of texts linked by a Jaccard index of at least 0.8.
-
-Texts with the same set of five-word shingles are one node. Each node has 120 minima
-of its shingle hashes, in 24 bands of 5; a pair at similarity s shares a band with
-probability 1 - (1 - s**5)**24, 0.9999 at 0.8. Candidates are confirmed by the sets
-themselves, after a bound that parities of the sets give on their difference: pairs
-that cannot reach the similarity are not made rows. In buckets of more than SMALL nodes, rounds of 32-fold more leaders are
-compared with those members that are not yet in the leader's component; the rounds end
-when every bucket is one component or each of its pairs apart has been compared, so no
-candidate is left out.
+"""Near copies by SimHash: groups of texts linked by a Jaccard index of at least 0.8.
+
+Texts with the same set of five-word shingles are one node. Each node has a SimHash of
+512 bits over its set, and bit-sampling LSH over that proposes pairs: a table keeps the
+more bits the more nodes there are, and so many tables are made that a pair at the limit
+is expected in eight. Candidates must then be near in 128 bits of their SimHash and are
+confirmed by the sets themselves; in large buckets a bound that parities of the sets
+give on their difference comes before, so that pairs that cannot reach the similarity
+are not made rows. In buckets of more than SMALL nodes, rounds of 32-fold more leaders
+are compared with those members that are not yet in the leader's component (the first
+round takes an eighth of the tables, then the others); the rounds end when every bucket is one component or each of its pairs apart has been compared, so
+no candidate is left out.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tokenhash
-from .common import discard, materialise
+from . import simhash, tokenhash
+from .common import batches_of, discard, materialise, trim
 from .simhash import components
 
-SHINGLE, BANDS, ROWS = 5, 24, 5
+SHINGLE = 5
 #: Similarity as a fraction; at 4/5, nine times the common shingles must be four times the sum of both sizes.
 ABOVE, BELOW = 4, 5
 SMALL, FIRST, GROWTH = 16, 2, 32
 CELLS = 512
+#: Most of the first 128 fingerprint bits in which a candidate pair differs: at the limit 19 do on average, 4 the deviation; of unlike texts 64.
+FAR = 44
 _CHUNK = 1 << 15
 
 
@@ -38,46 +42,30 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(tokenhash.window_hashes(words, min(SHINGLE, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(42)
-    flips, factors = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    return flips, factors | np.uint64(1)
-
-
-def _bands(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of band keys for each of some non-empty sets."""
-    flips, factors = _constants()
-    every = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat((every ^ flips[k]) * factors[k], starts)
-        keys[:, k // ROWS] = tokenhash.mix(keys[:, k // ROWS] + least + np.uint64(k + 1))
-    return keys
-
-
 def _marked():
-    schema = pa.schema([("rid", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    schema = pa.schema(list(zip(("rid", "hash", "n", "simhash", "bits"), kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sizes, bands, held, at, row, total = [], [], [None] * batch.num_rows, [], [], 0, 0
+            hashes, sizes, prints, odd, held, at, row, total = [], [], [None] * batch.num_rows, [None] * batch.num_rows, [], [], 0, 0
 
             def flush() -> None:
                 if held:
-                    for i, keys in zip(at, _bands(held).view(np.int64)):
-                        bands[i] = keys
+                    for i, own in zip(at, np.packbits(simhash.wide(held), axis=1, bitorder="little")):
+                        prints[i] = own.tobytes()
                     held.clear()
                     at.clear()
 
             for first in range(0, batch.num_rows, 512):
                 for text in batch.column(1).slice(first, 512).to_pylist():
                     own = shingles(text)
-                    nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                    hashes.append(xxhash.xxh64_intdigest(own.tobytes()))
                     sizes.append(len(own))
                     if len(own):
+                        odd[row] = parities(own)
                         held.append(own)
                         at.append(row)
                         total += len(own)
@@ -86,7 +74,23 @@ def _marked():
                             total = 0
                     row += 1
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            columns = [batch.column(0), np.array(hashes, np.uint64).view(np.int64), sizes, prints, odd]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if c is not columns[0] else c for c, k in zip(columns, kinds)], schema=schema)
+            trim()
+
+    return run
+
+
+def _keyed(places: np.ndarray):
+    """``key, node`` for each table from ``node, simhash``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = simhash.table_keys(np.unpackbits(raw, axis=1, bitorder="little"), places)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), len(places)))], names=["key", "node"])
 
     return run
 
@@ -105,10 +109,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            found = [shingles(t) for t in part.column(1).to_pylist()]
-            own, bits = [s.view(np.int64) for s in found], [parities(s) for s in found]
-            columns = [part.column(0), pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "own", "bits"])
+            own = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+        trim()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -135,51 +138,65 @@ def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
 
     Null and blank texts are copies of each other.
     """
+    spark = rows.sparkSession
     texts = rows.select("rid", F.col(text).cast("string").alias("text"))
-    marked = materialise(texts.mapInArrow(_marked(), "rid long, node long, n int, bands array<long>"), "marked")
-    nodes = marked.where("n > 0").groupBy("node").agg(F.min(F.struct("rid", "n", "bands")).alias("m"))
-    keyed = nodes.select("node", F.col("m.rid").alias("rid"), F.col("m.n").alias("n"), F.explode("m.bands").alias("key"))
-    keyed = materialise(keyed, "keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    with batches_of(spark, 2048):
+        marked = materialise(texts.mapInArrow(_marked(), "rid long, hash long, n int, simhash binary, bits array<long>"), "marked")
+    # a node goes by its least rid
+    nodes = materialise(marked.groupBy("hash").agg(F.min(F.struct("rid", "n", "simhash", "bits")).alias("m")).select("hash", F.col("m.rid").alias("node"), "m.n", "m.simhash", "m.bits"), "nodes")
+    full = nodes.where("n > 0")
+    places = simhash.tables(full.count(), ABOVE / BELOW)
+    keyed = full.select("node", "simhash").mapInArrow(_keyed(places), "key long, node long")
+    met = materialise(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "met")
     place = F.shiftrightunsigned(F.xxhash64("node"), 1) / float(1 << 63) * F.col("size")
-    live = materialise(keyed.join(sizes, "key").withColumn("place", place), "live")
-    discard(keyed)
-    needed = live.select("node", "rid").distinct()
-    sets = materialise(texts.join(needed, "rid").select("node", "text").mapInArrow(_sets, "node long, own array<long>, bits array<long>"), "sets")
-    bare = live
-    live = materialise(bare.join(sets.select("node", "bits"), "node"), "live")
-    discard(bare)
+    part = lambda k: F.conv(F.hex(F.substring("simhash", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}")
+    known = full.select("node", "n", *(part(k) for k in range(simhash.FIRST // 64)), "bits")
+    live = met.join(known, "node").withColumn("bits", F.when(F.col("size") > 2, F.col("bits")))  # one pair is held against the sets themselves
+    live = materialise(live.withColumn("place", place), "live")
+    discard(met)
     most = live.agg(F.max("size")).first()[0] or 0
-    roots, low, high = None, 0, FIRST
+    table = F.shiftright("key", places.shape[1])
+    roots, low, high, early = None, 0, FIRST, True
     while low < most:
-        own = live if low == 0 else live.where(F.col("size") > SMALL)
+        # what an eighth of the tables has linked need not be compared in the others
+        own = live.where((table < len(places) // 8) == early) if low == 0 else live.where(F.col("size") > SMALL)
         own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if low:
+        first, early = early, False
+        if not first:
             own = materialise(own, "own")
             apart = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
             left = materialise(own.join(apart, "key", "left_semi"), "apart")
             discard(own)
             own = left
-            if own.isEmpty():
+            if own.isEmpty() and low:
                 break
         leads = own.where((F.col("place") >= low) & (F.col("place") < high) | (F.lit(low == 0) & (F.col("size") <= SMALL)))
-        leads = leads.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"), F.col("bits").alias("lead_bits"))
+        leads = leads.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"), F.col("bits").alias("lead_bits"), *(F.col(f"s{k}").alias(f"lead_s{k}") for k in range(simhash.FIRST // 64)))
+        far = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"lead_s{k}"))) for k in range(simhash.FIRST // 64))
         differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(CELLS // 64))
         met = own.join(leads, "key").where("root <> lead_root").where(F.least("n", "lead_n") * BELOW >= F.greatest("n", "lead_n") * ABOVE)
-        met = met.where((F.col("n") + F.col("lead_n")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW))
+        met = met.where(far <= FAR)
+        met = met.where(F.col("bits").isNull() | ((F.col("n") + F.col("lead_n")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW)))
         one, two = F.struct(F.col("node").alias("k"), F.col("root").alias("r")), F.struct(F.col("lead").alias("k"), F.col("lead_root").alias("r"))
         met = met.select(F.greatest(one, two).alias("one"), F.least(one, two).alias("two"))
         pairs = materialise(met.select(F.col("one.k").alias("u"), F.col("two.k").alias("v"), F.col("one.r").alias("u_root"), F.col("two.r").alias("v_root")).distinct(), "pairs")
+        needed = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+        with batches_of(spark, 2048):
+            sets = materialise(texts.join(needed, "rid").select(F.col("rid").alias("node"), "text").mapInArrow(_sets, "node long, own array<long>"), "sets")
         found = materialise(confirmed(pairs, sets).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
         discard(pairs)
+        discard(sets)
         if roots is None or not found.isEmpty():
             roots = _merged(roots, components(found))
         discard(found)
-        if low:
+        if not first:
             discard(own)
+        if first:
+            continue
         low, high = high, high * GROWTH
         if most <= SMALL:
             break
+    named = marked.select("rid", "hash").join(nodes.select("hash", "node"), "hash")
     if roots is None:
-        return marked.select("rid", F.col("node").alias("root"))
-    return marked.select("rid", "node").join(roots, "node", "left").select("rid", F.coalesce("root", "node").alias("root"))
+        return named.select("rid", F.col("node").alias("root"))
+    return named.join(roots, "node", "left").select("rid", F.coalesce("root", "node").alias("root"))

@@ -27,6 +27,10 @@ from . import tokenhash
 from .common import discard, materialise
 
 RADIUS = 2
+#: Bits of a wide fingerprint, and of those the ones that a distance is measured on first.
+WIDE, FIRST = 512, 128
+#: Expected tables in which a pair at the similarity asked for meets: it meets in none with probability exp(-8), about.
+MEETINGS = 8
 
 
 def masks() -> list[int]:
@@ -74,6 +78,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints(shingle), "doc_id long, bits long")
 
 
+def wide(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of WIDE bits of each of some non-empty sets of hashes, as 0 and 1: a bit's majority, in a tie that of the set's first hash."""
+    every = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    sizes = np.array([len(s) for s in sets])[:, None]
+    out = np.zeros((len(sets), WIDE), np.uint8)
+    for k in range(WIDE // 64):
+        own = np.unpackbits(tokenhash.mix(every + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        twice = 2 * np.add.reduceat(own, starts, axis=0, dtype=np.int32)
+        out[:, 64 * k : 64 * (k + 1)] = (twice > sizes) | (twice == sizes) & (own[starts] == 1)
+    return out
+
+
+def tables(rows: int, similarity: float) -> np.ndarray:
+    """Places of the bits that each table of bit-sampling LSH keeps: (tables, bits), for pairs of sets at a Jaccard index of ``similarity``.
+
+    At that index the cosine is 2 s / (1 + s) at least and a bit agrees with probability 1 - arccos / pi. A table keeps so
+    many bits that unlike texts rarely meet among ``rows`` rows (one in eight), and so many tables are made that a pair at
+    the limit is expected in MEETINGS of them.
+    """
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = min(48, max(16, int(np.ceil(np.log2(max(2, rows)))) + 3))
+    rng = np.random.default_rng(42)
+    return np.array([rng.choice(WIDE, bits, replace=False) for _ in range(int(np.ceil(MEETINGS / agree**bits)))])
+
+
+def table_keys(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The key of each row of fingerprints in each table: (rows, tables); no two tables share a key."""
+    count, kept = places.shape
+    weights = np.zeros((WIDE, count))
+    weights[places, np.arange(count)[:, None]] = 2.0 ** np.arange(kept)
+    return (bits.astype(np.float64) @ weights).astype(np.int64) + (np.arange(count, dtype=np.int64) << kept)
+
+
 def links(bits: DataFrame) -> DataFrame:
     """``u, v`` (u > v) from distinct fingerprints ``bits``: within two bits, and enough of them to connect all that are."""
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks())))
