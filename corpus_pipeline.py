@@ -57,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the mix into sequences of 2048 tokens; one row per piece."""
-    return packing.pack(docs, queries.tokenizer_path(), keep_ids=False).drop("ids")
+    return packing.pack(docs, queries.tokenizer_path(), keep_ids=False, rows=512, most=60_000).drop("ids")  # workers share the executor with what earlier stages hold
 
 
 def _tidy(stage):

@@ -27,6 +27,8 @@ CAPACITY = 2048
 RANGE = 200_000
 #: Rows that a worker encodes at a time.
 SLICE = 2560
+#: Words that a worker remembers, about.
+WORDS = 250_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -52,7 +54,7 @@ class WordEncoder:
         "|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
     )
 
-    def __init__(self, path: str, ordinary: bool = False, most: int = 250_000):
+    def __init__(self, path: str, ordinary: bool = False, most: int = WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,19 +138,19 @@ class WordEncoder:
             yield table[np.repeat(starts[own] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool, int], WordEncoder] = {}
 
 
-def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool):
+def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool, rows: int = SLICE, most: int = WORDS):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, ordinary) not in _encoders:
-            _encoders[path, ordinary] = WordEncoder(path, ordinary)
-        encoder = _encoders[path, ordinary]
+        if (path, ordinary, most) not in _encoders:
+            _encoders[path, ordinary, most] = WordEncoder(path, ordinary, most)
+        encoder = _encoders[path, ordinary, most]
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part, out = batch.slice(at, SLICE), {k: [] for k in schema.names}
+            for at in range(0, batch.num_rows, rows):
+                part, out = batch.slice(at, rows), {k: [] for k in schema.names}
                 texts = pc.fill_null(part.column(1), "")
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     raw = ids.astype("<u4").tobytes() + b"\0\0\0\0"
@@ -169,14 +171,15 @@ def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool):
     return run
 
 
-def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False, rows: int = SLICE, most: int = WORDS) -> DataFrame:
     """Pieces of each document: its ids and a closing id 0, cut into ``capacity`` ids (the first piece takes the remainder) only where longer.
 
     ``path`` names the tokenizer file, which must be on every executor. Null text counts as empty. The strings of special
     tokens in a text become their ids, as the tokenizer does by default; with ``ordinary`` they are text like any other.
+    A worker takes ``rows`` rows at a time and remembers about ``most`` words: fewer take less memory and more time.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(path, capacity, keep_ids, ordinary), _PIECES)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_cut(path, capacity, keep_ids, ordinary, rows, most), _PIECES)
 
 
 _SWEPT = "tag string, range int, rank long, id long, size long, home long, at long, facts array<long>"
@@ -323,14 +326,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False, rows: int = SLICE, most: int = WORDS) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``; no sequence is longer than ``capacity``.
 
     Null text counts as empty (one id). Repeated rows and null ids are packed like any other rows. Ties in length are
-    broken by row. An empty table gives no rows. Other columns are not read.
+    broken by row. An empty table gives no rows. Other columns are not read. ``rows`` and ``most`` as in ``tokenise``.
     """
-    pieces = tokenise(docs, path, capacity, keep_ids, id_col, text_col, ordinary).withColumn("uid", F.monotonically_increasing_id())
-    with batches_of(pieces.sparkSession, SLICE):
+    pieces = tokenise(docs, path, capacity, keep_ids, id_col, text_col, ordinary, rows, most).withColumn("uid", F.monotonically_increasing_id())
+    with batches_of(pieces.sparkSession, rows):
         pieces = materialise(pieces, "pieces")
     placed = place(pieces.select("uid", "length"), capacity)
     return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "ids", F.col("home").alias("sequence_id"), F.col("at").alias("offset"))
