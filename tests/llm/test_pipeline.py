@@ -116,3 +116,19 @@ def test_batches_are_bounded_while_tables_are_written(spark):
     with batches_of(spark, 100):
         found = materialise(spark.range(1000).coalesce(1).mapInArrow(sizes, "n long"), "sizes")
     assert max(r.n for r in found.collect()) <= 100 and spark.conf.get(name) == before
+
+
+def test_encoder_remembers_words_that_recur():
+    import pyarrow as pa
+
+    from weftline.llm import packing
+
+    encoder = packing.WordEncoder(queries.tokenizer_path(), most=50)
+    often = [f"word{chr(97 + k)}" for k in range(20)]
+    for turn in range(8):
+        texts = [" ".join(["x", *often, *(f"only{chr(97 + turn)}{chr(97 + k)}{chr(97 + j)}" for k in range(5) for j in range(26))]), " ".join(["y", *often]), "", "a\nb, c"]
+        got = [ids.tolist() for ids in encoder.encode(pa.array(texts))]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        names, ids = encoder.spaced
+        assert set(often) <= set(names.to_pylist()) and len(names) == len(ids) <= 100
+        assert not any(n.startswith("only") for n in names.to_pylist())

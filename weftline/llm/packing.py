@@ -12,6 +12,7 @@ round starts, until every piece has a place.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ CAPACITY = 2048
 RANGE = 200_000
 #: Rows that a worker encodes at a time.
 SLICE = 2560
-#: Words that a worker remembers, about.
+#: Words that a worker remembers, about; those that recur among the rows it encodes at a time.
 WORDS = 250_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -65,44 +66,71 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = ordinary
         added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([self.ODD, *(regex.escape(t, special_only=True) for t in added)])
-        self.merge, self.signs, self.most = self.tokenizer.model.tokenize, _signs(), most
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.merge, self.most = self.tokenizer.model.tokenize, most
+        self.signs = {byte: sign for byte, sign in _signs().items() if byte != 10}
+        #: Words after a space and bare ones, and the ids of each.
+        self.spaced: tuple[pa.Array, list[bytes]] = pa.array([], pa.string()), []
+        self.bare: tuple[pa.Array, list[bytes]] = pa.array([], pa.string()), []
         self.parts: dict[str, bytes] = {}
         self.split = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+").findall
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        from array import array
-
         return array("I", ids).tobytes()
 
-    def _part(self, part: str, keep: bool = True) -> bytes:
-        """Ids of one pre-token: the model alone, without the pipeline around it."""
-        signs = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
-        found = self.pack([t.id for t in self.merge(signs)])
-        if keep:
-            self.parts[part] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        # an apostrophe may begin a contraction, and tables of letters differ outside the Latin blocks
-        if "'" in word or not word.isascii() and max(word) > "ɏ":
-            return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        get, parts = self.parts.get, self.split(word)
-        if len(parts) == 1:  # remembered as a word
-            return get(word) or self._part(word, False)
-        return b"".join([get(p) or self._part(p) for p in parts])
-
-    def _known(self, memory: dict[str, bytes], words: list[str], prefix: str) -> list[bytes]:
+    def _part(self, signs: str) -> bytes:
+        """Ids of one pre-token, given in signs: the model alone, without the pipeline around it."""
+        return self.pack([t.id for t in self.merge(signs)])
+
+    def _signs(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
+
+    def _fresh(self, words: list[str], prefix: str) -> list[bytes]:
+        """Ids of words; of those cut into several pre-tokens, the parts are remembered."""
+        out: list[bytes] = [b""] * len(words)
+        whole, parts = [], self.parts
+        for k, word in enumerate(words):
+            if word.isascii() and word.isalpha():
+                whole.append(k)
+            # an apostrophe may begin a contraction, and tables of letters differ outside the Latin blocks
+            elif "'" in word or not word.isascii() and max(word) > "ɏ":
+                out[k] = self.pack(self.tokenizer.encode(prefix + word, add_special_tokens=False).ids)
+            elif word:
+                own = self.split(prefix + word)
+                if len(own) == 1:  # remembered as a word
+                    whole.append(k)
+                    continue
+                for part in own:
+                    if part not in parts:
+                        parts[part] = self._part(self._signs(part))
+                out[k] = b"".join([parts[part] for part in own])
+        if whole:  # no word holds a line feed
+            signs = self._signs("\n".join([prefix + words[k] for k in whole])).split("\n")
+            for k, ids in zip(whole, map(self._part, signs)):
+                out[k] = ids
+        return out
+
+    def _known(self, words: pa.Array, counts: np.ndarray, prefix: str) -> list[bytes]:
+        """Ids of distinct words; those that recur are remembered, as most others never come again."""
         if len(self.parts) > 2 * self.most:
             self.parts.clear()
-        found = list(map(memory.get, words))
-        if len(memory) > self.most:
-            memory.clear()
-        for k, own in enumerate(found):
-            if own is None:
-                found[k] = memory[words[k]] = self._word(prefix + words[k])
+        names, ids = self.spaced if prefix else self.bare
+        at = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        # a line feed's ids are set by the caller
+        fresh = self._fresh(["" if w == "\n" else w for w in words.take(pa.array(new)).to_pylist()], prefix)
+        every = ids + fresh
+        at = at.astype(np.int64)
+        at[new] = len(ids) + np.arange(len(new))
+        found = list(map(every.__getitem__, at.tolist()))
+        again = np.flatnonzero((at < len(ids)) | (counts > 1)) if len(ids) > self.most else new[counts[new] > 1]
+        if len(ids) > self.most:
+            names, ids = names[:0], []
+        kept = pa.concat_arrays([names, words.take(pa.array(again))]), ids + [found[k] for k in again.tolist()]
+        if prefix:
+            self.spaced = kept
+        else:
+            self.bare = kept
         return found
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -111,9 +139,9 @@ class WordEncoder:
         plain = texts.filter(pa.array(~odd))
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
         words = lists.flatten().dictionary_encode()
-        distinct, code = words.dictionary.to_pylist(), np.asarray(words.indices)
+        distinct, code = words.dictionary.cast(pa.string()), np.asarray(words.indices)
         ends = np.asarray(lists.offsets)
-        feed = distinct.index("\n") if "\n" in distinct else -1
+        feed = pc.index(distinct, "\n").as_py()
         first = np.zeros(len(code), bool)
         first[ends[:-1][np.diff(ends) > 0]] = True
         first[1:] |= code[:-1] == feed
@@ -121,21 +149,18 @@ class WordEncoder:
         heads, place = np.unique(code[first], return_inverse=True)
         code = code.astype(np.int64)
         code[first] = len(distinct) + place
-        ids = self._known(self.spaced, distinct, " ") + self._known(self.bare, [distinct[k] for k in heads], "")
+        counts = np.bincount(code, minlength=len(distinct) + len(heads))
+        ids = self._known(distinct, counts[: len(distinct)], " ") + self._known(distinct.take(pa.array(heads)), counts[len(distinct) :], "")
         if feed >= 0:
             ids[feed] = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        sizes = np.array([len(i) // 4 for i in ids], np.int64)
-        table, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
-        row = 0
+        of, row = ids.__getitem__, 0
         for k, whole in enumerate(odd):
             if whole:
                 yield np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
                 continue
-            own = code[ends[row] : ends[row + 1]]
+            own = code[ends[row] : ends[row + 1]].tolist()
             row += 1
-            n = sizes[own]
-            upto = np.cumsum(n)
-            yield table[np.repeat(starts[own] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+            yield np.frombuffer(b"".join(map(of, own)), np.uint32)
 
 
 _encoders: dict[tuple[str, bool, int], WordEncoder] = {}
