@@ -145,3 +145,37 @@ def test_tables_find_pairs_at_the_limit():
         unlike = (near_copies.simhash.table_keys(a, places) == near_copies.simhash.table_keys(np.roll(b, 1, axis=0), places)).mean()
         print(rows, places.shape, met.mean(), unlike)
         assert met.mean() >= 0.98 and unlike < 1e-4
+
+
+def test_large_buckets_alone_carry_what_is_compared(spark, monkeypatch):
+    """Small buckets become distinct pairs of ids; no wide row is written for their members."""
+    sizes, write = {}, near_copies.materialise
+
+    def written(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", written)
+    words = [f"w{k}" for k in range(60)]
+    rows = spark.createDataFrame([(k, " ".join([*words, *"x" * k])) for k in range(3)], "rid long, text string")
+    assert len({r.root for r in near_copies.grouped(rows).collect()}) == 1
+    assert sizes["met"][0] > 0 and sizes["live"] == [0] and sizes["pairs"][0] == 3 and not any(sizes["pairs"][1:])
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    from weftline.llm.common import materialise
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    context, before = spark._jsc.sc(), spark.conf.get(name)
+    start = context.newShuffleId()
+    assert materialise(spark.range(1000).repartition(3, "id"), "shuffled").count() == 1000
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    import time
+
+    for _ in range(50):
+        left = [f for f in blocks.getAllFiles().mkString("|").split("|") if f"/shuffle_{start + 1}_" in f]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == before

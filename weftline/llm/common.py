@@ -32,10 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside only."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. Its shuffle files go at once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     _written.add(path)
@@ -73,12 +85,9 @@ def sweep(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozens
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Tables written inside hand Python at most ``rows`` rows at a time, so that neither side holds more."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
+    before = int(spark.conf.get(name))
+    with _set(spark, name, str(min(rows, before) if before > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def trim() -> None:

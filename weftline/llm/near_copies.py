@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash, tokenhash
@@ -133,6 +133,53 @@ def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
     return out
 
 
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds ``root`` by ``node``: the node itself where nothing has linked it."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _within(met: DataFrame) -> DataFrame:
+    """``u, v, u_root, v_root``: each pair of ``key, node, root`` that shares a key and no root, once; buckets are of SMALL nodes at most."""
+    after = F.collect_list(F.struct("node", "root")).over(Window.partitionBy("key").orderBy("node").rowsBetween(1, SMALL - 1))
+    apart = F.filter("after", lambda x: x.root != F.col("root"))
+    pairs = met.withColumn("after", after).select(F.explode(apart).alias("x"), "node", "root")
+    return pairs.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.root").alias("u_root"), F.col("root").alias("v_root")).repartition("u").dropDuplicates(["u", "v"])
+
+
+def _alike(one: str, two: str) -> Column:
+    """Whether sizes and SimHashes of the columns with both endings leave a pair a chance."""
+    far = sum(F.bit_count(F.col(f"s{k}{one}").bitwiseXOR(F.col(f"s{k}{two}"))) for k in range(simhash.FIRST // 64))
+    sizes = F.least(f"n{one}", f"n{two}") * BELOW >= F.greatest(f"n{one}", f"n{two}") * ABOVE
+    return sizes & (far <= FAR)
+
+
+def _bounded(one: str, two: str) -> Column:
+    """Whether the parities leave a pair a chance."""
+    differ = sum(F.bit_count(F.col(f"bits{one}")[k].bitwiseXOR(F.col(f"bits{two}")[k])) for k in range(CELLS // 64))
+    return (F.col(f"n{one}") + F.col(f"n{two}")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW)
+
+
+def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs that may reach the similarity; the many that only share a bucket go before parities are fetched."""
+    prints = [c for c in known.columns if c not in ("node", "bits")]
+    of = lambda x, columns: known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    out = pairs.join(of("u", prints), "u").join(of("v", prints), "v").where(_alike("_u", "_v")).select(*pairs.columns, "n_u", "n_v")
+    out = out.join(of("v", ["bits"]), "v").join(of("u", ["bits"]), "u")
+    return out.where(_bounded("_u", "_v")).select(*pairs.columns)
+
+
+def _led(own: DataFrame, low: int, high: int) -> DataFrame:
+    """``u, v, u_root, v_root`` of leaders, whose place is from ``low`` to ``high``, and members that are not yet in their component."""
+    leads = own.where((F.col("place") >= low) & (F.col("place") < high))
+    leads = leads.select("key", *(F.col(c).alias(f"{c}_lead") for c in own.columns if c not in ("key", "size", "place")))
+    met = own.join(leads, "key").where("root <> root_lead").where(_alike("", "_lead")).where(_bounded("", "_lead"))
+    one, two = F.struct(F.col("node").alias("k"), F.col("root").alias("r")), F.struct(F.col("node_lead").alias("k"), F.col("root_lead").alias("r"))
+    met = met.select(F.greatest(one, two).alias("one"), F.least(one, two).alias("two"))
+    return met.select(F.col("one.k").alias("u"), F.col("two.k").alias("v"), F.col("one.r").alias("u_root"), F.col("two.r").alias("v_root"))
+
+
 def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rid, root`` for each row of ``rid, text``: rows of one root are linked by near copies. Rids must be unique and stay.
 
@@ -151,35 +198,30 @@ def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
     place = F.shiftrightunsigned(F.xxhash64("node"), 1) / float(1 << 63) * F.col("size")
     part = lambda k: F.conv(F.hex(F.substring("simhash", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}")
     known = full.select("node", "n", *(part(k) for k in range(simhash.FIRST // 64)), "bits")
-    live = met.join(known, "node").withColumn("bits", F.when(F.col("size") > 2, F.col("bits")))  # one pair is held against the sets themselves
-    live = materialise(live.withColumn("place", place), "live")
-    discard(met)
+    # what is compared travels with each row of a large bucket, but with the distinct pairs of small ones
+    live = materialise(met.where(F.col("size") > SMALL).join(known, "node").withColumn("place", place), "live")
     most = live.agg(F.max("size")).first()[0] or 0
-    table = F.shiftright("key", places.shape[1])
-    roots, low, high, early = None, 0, FIRST, True
-    while low < most:
+    early = F.shiftright("key", places.shape[1]) < len(places) // 8
+    roots, low, high, parts = None, 0, FIRST, [early, ~early]
+    while parts or low < most:
         # what an eighth of the tables has linked need not be compared in the others
-        own = live.where((table < len(places) // 8) == early) if low == 0 else live.where(F.col("size") > SMALL)
-        own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        first, early = early, False
-        if not first:
+        tables = parts.pop(0) if parts else None
+        own = _rooted(live if tables is None else live.where(tables), roots)
+        if roots is not None:
             own = materialise(own, "own")
             apart = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
             left = materialise(own.join(apart, "key", "left_semi"), "apart")
             discard(own)
             own = left
-            if own.isEmpty() and low:
+            if tables is None and own.isEmpty():
+                discard(own)
                 break
-        leads = own.where((F.col("place") >= low) & (F.col("place") < high) | (F.lit(low == 0) & (F.col("size") <= SMALL)))
-        leads = leads.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"), F.col("bits").alias("lead_bits"), *(F.col(f"s{k}").alias(f"lead_s{k}") for k in range(simhash.FIRST // 64)))
-        far = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"lead_s{k}"))) for k in range(simhash.FIRST // 64))
-        differ = sum(F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(CELLS // 64))
-        met = own.join(leads, "key").where("root <> lead_root").where(F.least("n", "lead_n") * BELOW >= F.greatest("n", "lead_n") * ABOVE)
-        met = met.where(far <= FAR)
-        met = met.where(F.col("bits").isNull() | ((F.col("n") + F.col("lead_n")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW)))
-        one, two = F.struct(F.col("node").alias("k"), F.col("root").alias("r")), F.struct(F.col("lead").alias("k"), F.col("lead_root").alias("r"))
-        met = met.select(F.greatest(one, two).alias("one"), F.least(one, two).alias("two"))
-        pairs = materialise(met.select(F.col("one.k").alias("u"), F.col("two.k").alias("v"), F.col("one.r").alias("u_root"), F.col("two.r").alias("v_root")).distinct(), "pairs")
+        pairs = _led(own, low, high)
+        if tables is not None:
+            pairs = pairs.unionByName(_near(_within(_rooted(met.where(F.col("size") <= SMALL).where(tables), roots)), known))
+        pairs = materialise(pairs.distinct(), "pairs")
+        if roots is not None:
+            discard(own)
         needed = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
         with batches_of(spark, 2048):
             sets = materialise(texts.join(needed, "rid").select(F.col("rid").alias("node"), "text").mapInArrow(_sets, "node long, own array<long>"), "sets")
@@ -189,13 +231,10 @@ def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
         if roots is None or not found.isEmpty():
             roots = _merged(roots, components(found))
         discard(found)
-        if not first:
-            discard(own)
-        if first:
-            continue
-        low, high = high, high * GROWTH
-        if most <= SMALL:
-            break
+        if not parts:
+            low, high = high, high * GROWTH
+    for done in (met, live):
+        discard(done)
     named = marked.select("rid", "hash").join(nodes.select("hash", "node"), "hash")
     if roots is None:
         return named.select("rid", F.col("node").alias("root"))
