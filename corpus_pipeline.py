@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, mixing, near_copies, packing, pii, queries
-from weftline.llm.common import materialise, standing, sweep
+from weftline.llm.common import among, materialise, standing, sweep
 
 #: Least mean probability of the predicted language: below, a document counts as of no known language.
 SURE = 0.4
@@ -40,8 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     roots = near_copies.grouped(boxed.select("rid", F.col("_row.text").alias("text")))
     rank = F.struct(F.col("_row.doc_id").isNull().alias("last"), F.col("_row.doc_id").alias("id"), F.xxhash64(*(f"_row.{c}" for c in ("text", "lang", "source", "n_chars"))).alias("content"), "rid")
     ranked = boxed.select("rid", rank.alias("rank")).join(roots, "rid")
-    kept = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.rid").alias("rid"))
-    return boxed.join(kept, "rid", "left_semi").select("_row.*")
+    kept = materialise(ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.rid").alias("rid")), "kept")
+    return among(boxed, kept).select("_row.*")  # no document is moved
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

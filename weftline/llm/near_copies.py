@@ -4,9 +4,10 @@ Texts with the same set of five-word shingles are one node. Each node has a SimH
 512 bits over its set, and bit-sampling LSH over that proposes pairs: a table keeps the
 more bits the more nodes there are, and so many tables are made that a pair at the limit
 is expected in eight. Candidates must then be near in 128 bits of their SimHash and are
-confirmed by the sets themselves; in large buckets a bound that parities of the sets
-give on their difference comes before, so that pairs that cannot reach the similarity
-are not made rows. In buckets of more than SMALL nodes, rounds of 32-fold more leaders
+confirmed by the sets themselves; a bound that parities of the sets give on their
+difference comes before, so that pairs that cannot reach the similarity are not made
+rows (128 parities in small buckets, then 512 as in large ones). Nodes go to the tables
+in packs of some 4 bytes a node and table, and texts are not moved. In buckets of more than SMALL nodes, rounds of 32-fold more leaders
 are compared with those members that are not yet in the leader's component (the first
 round takes an eighth of the tables, then the others); the rounds end when every bucket is one component or each of its pairs apart has been compared, so
 no candidate is left out.
@@ -14,6 +15,7 @@ no candidate is left out.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +24,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash, tokenhash
-from .common import batches_of, discard, materialise, trim
+from .common import among, batches_of, discard, materialise, trim, width
 from .simhash import components
 
 SHINGLE = 5
 #: Similarity as a fraction; at 4/5, nine times the common shingles must be four times the sum of both sizes.
 ABOVE, BELOW = 4, 5
 SMALL, FIRST, GROWTH = 16, 2, 32
-CELLS = 512
+CELLS, FOLDED = 512, 128
 #: Most of the first 128 fingerprint bits in which a candidate pair differs: at the limit 19 do on average, 4 the deviation; of unlike texts 64.
 FAR = 44
 _CHUNK = 1 << 15
+#: Nodes that are packed together; nodes of a table that are brought together at a time, about.
+PACK, PART = 1 << 13, 1 << 17
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -81,20 +85,95 @@ def _marked():
     return run
 
 
-def _keyed(places: np.ndarray):
-    """``key, node`` for each table from ``node, simhash``."""
+def _squeezed(values: np.ndarray, size: int) -> bytes:
+    """Integers of ``size`` bytes, compressed byte by byte: all lowest bytes first."""
+    return pa.Codec("zstd", compression_level=1).compress(values.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes(), asbytes=True)
+
+
+def _opened(held: bytes, count: int, size: int) -> np.ndarray:
+    raw = np.zeros((count, 8), np.uint8)
+    raw[:, :size] = np.frombuffer(pa.Codec("zstd").decompress(held, count * size), np.uint8).reshape(size, count).T
+    return raw.view(np.int64).ravel()
+
+
+def _bytes(places: np.ndarray, split: int) -> int:
+    return -(-max(1, places.shape[1] - split) // 8)
+
+
+def _packed(places: np.ndarray, split: int):
+    """``part, n, nodes, keys`` from ``node, simhash``: for each table and value of its keys' lowest ``split`` bits the nodes, as differences, and the keys' other bits."""
+
+    def packs(nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
+        order, out = np.argsort(nodes), ([], [], [], [])
+        raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(nodes), -1)[order]
+        nodes, kept, size = nodes[order], places.shape[1], _bytes(places, split)
+        keys = np.concatenate([simhash.table_keys(np.unpackbits(raw[k : k + 1024], axis=1, bitorder="little"), places) for k in range(0, len(raw), 1024)])
+        whole = None if split else _squeezed(np.diff(nodes, prepend=0), 8)
+        for t in range(len(places)):
+            own = keys[:, t] & ((1 << kept) - 1)
+            low = own & ((1 << split) - 1)
+            rows = np.argsort(low, kind="stable")
+            ends = np.searchsorted(low[rows], np.arange((1 << split) + 1))
+            for k in np.flatnonzero(np.diff(ends)):
+                at = rows[ends[k] : ends[k + 1]]
+                found = (t << split | int(k), len(at), whole or _squeezed(np.diff(nodes[at], prepend=0), 8), _squeezed(own[at] >> split, size))
+                for column, value in zip(out, found):
+                    column.append(value)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["part", "n", "nodes", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, prints = [], []
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = simhash.table_keys(np.unpackbits(raw, axis=1, bitorder="little"), places)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), len(places)))], names=["key", "node"])
+            nodes += batch.column(0).to_pylist()
+            prints += batch.column(1).to_pylist()
+            while len(nodes) >= PACK:
+                yield packs(np.array(nodes[:PACK], np.int64), prints[:PACK])
+                del nodes[:PACK], prints[:PACK]
+        if nodes:
+            yield packs(np.array(nodes, np.int64), prints)
 
     return run
 
 
+def _met(places: np.ndarray, split: int):
+    """``key, node, size`` of the nodes that are not alone under a key, from packs in the order of ``part``."""
+    kept, size = places.shape[1], _bytes(places, split)
+
+    def buckets(part: int, held: list) -> pa.RecordBatch:
+        nodes = np.concatenate([np.cumsum(_opened(a, n, 8)) for n, a, _ in held])
+        keys = np.concatenate([_opened(b, n, size) for n, _, b in held]) << split | part & ((1 << split) - 1) | part >> split << kept
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        sizes = np.diff(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))))
+        sizes = np.repeat(sizes, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(c[sizes > 1]) for c in (keys, nodes, sizes)], names=["key", "node", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, *pack in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield buckets(now, held)
+                    held = []
+                now = part
+                held.append(pack)
+        if held:
+            yield buckets(now, held)
+        trim()
+
+    return run
+
+
+def met_in_tables(nodes: DataFrame, places: np.ndarray, count: int) -> DataFrame:
+    """``key, node, size``: of ``node, simhash`` the nodes that meet others in a table, with the number of nodes there."""
+    split = min(places.shape[1], max(0, (count // PART).bit_length()))
+    packs = nodes.mapInArrow(_packed(places, split), "part int, n int, nodes binary, keys binary")
+    packs = packs.repartition(width(nodes.sparkSession), "part").sortWithinPartitions("part")
+    with batches_of(nodes.sparkSession, 256):
+        return materialise(packs.mapInArrow(_met(places, split), "key long, node long, size long"), "met")
+
+
 def parities(own: np.ndarray) -> np.ndarray:
     """Of each of CELLS cells of the hash space, whether it holds an odd number of the set, as CELLS / 64 integers.
 
@@ -161,11 +240,23 @@ def _bounded(one: str, two: str) -> Column:
     return (F.col(f"n{one}") + F.col(f"n{two}")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW)
 
 
+def _folded(one: str, two: str) -> Column:
+    """``_bounded`` by a quarter of the parities, those of cells four of which are taken as one."""
+    differ = sum(F.bit_count(F.col(f"f{k}{one}").bitwiseXOR(F.col(f"f{k}{two}"))) for k in range(FOLDED // 64))
+    return (F.col(f"n{one}") + F.col(f"n{two}")) * (BELOW - ABOVE) >= differ * (ABOVE + BELOW)
+
+
+def _folds() -> list[Column]:
+    """``f0, f1`` from ``bits``."""
+    step = FOLDED // 64
+    return [functools.reduce(Column.bitwiseXOR, (F.col("bits")[j] for j in range(k, CELLS // 64, step))).alias(f"f{k}") for k in range(step)]
+
+
 def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Those of the pairs that may reach the similarity; the many that only share a bucket go before parities are fetched."""
     prints = [c for c in known.columns if c not in ("node", "bits")]
     of = lambda x, columns: known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    out = pairs.join(of("u", prints), "u").join(of("v", prints), "v").where(_alike("_u", "_v")).select(*pairs.columns, "n_u", "n_v")
+    out = pairs.join(of("u", prints), "u").join(of("v", prints), "v").where(_alike("_u", "_v") & _folded("_u", "_v")).select(*pairs.columns, "n_u", "n_v")
     out = out.join(of("v", ["bits"]), "v").join(of("u", ["bits"]), "u")
     return out.where(_bounded("_u", "_v")).select(*pairs.columns)
 
@@ -192,14 +283,14 @@ def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
     # a node goes by its least rid
     nodes = materialise(marked.groupBy("hash").agg(F.min(F.struct("rid", "n", "simhash", "bits")).alias("m")).select("hash", F.col("m.rid").alias("node"), "m.n", "m.simhash", "m.bits"), "nodes")
     full = nodes.where("n > 0")
-    places = simhash.tables(full.count(), ABOVE / BELOW)
-    keyed = full.select("node", "simhash").mapInArrow(_keyed(places), "key long, node long")
-    met = materialise(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "met")
+    count = full.count()
+    places = simhash.tables(count, ABOVE / BELOW)
+    met = met_in_tables(full.select("node", "simhash"), places, count)
     place = F.shiftrightunsigned(F.xxhash64("node"), 1) / float(1 << 63) * F.col("size")
     part = lambda k: F.conv(F.hex(F.substring("simhash", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}")
-    known = full.select("node", "n", *(part(k) for k in range(simhash.FIRST // 64)), "bits")
+    known = full.select("node", "n", *(part(k) for k in range(simhash.FIRST // 64)), *_folds(), "bits")
     # what is compared travels with each row of a large bucket, but with the distinct pairs of small ones
-    live = materialise(met.where(F.col("size") > SMALL).join(known, "node").withColumn("place", place), "live")
+    live = materialise(met.where(F.col("size") > SMALL).join(known.drop(*(f"f{k}" for k in range(FOLDED // 64))), "node").withColumn("place", place), "live")
     most = live.agg(F.max("size")).first()[0] or 0
     early = F.shiftright("key", places.shape[1]) < len(places) // 8
     roots, low, high, parts = None, 0, FIRST, [early, ~early]
@@ -222,12 +313,12 @@ def grouped(rows: DataFrame, text: str = "text") -> DataFrame:
         pairs = materialise(pairs.distinct(), "pairs")
         if roots is not None:
             discard(own)
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+        needed = materialise(pairs.select(F.explode(F.array("u", "v")).alias("rid")), "needed")
         with batches_of(spark, 2048):
-            sets = materialise(texts.join(needed, "rid").select(F.col("rid").alias("node"), "text").mapInArrow(_sets, "node long, own array<long>"), "sets")
+            sets = materialise(among(texts, needed).select(F.col("rid").alias("node"), "text").mapInArrow(_sets, "node long, own array<long>"), "sets")
         found = materialise(confirmed(pairs, sets).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
-        discard(pairs)
-        discard(sets)
+        for done in (pairs, needed, sets):
+            discard(done)
         if roots is None or not found.isEmpty():
             roots = _merged(roots, components(found))
         discard(found)
