@@ -132,6 +132,7 @@ def _packed(places: np.ndarray, split: int):
                 del nodes[:PACK], prints[:PACK]
         if nodes:
             yield packs(np.array(nodes, np.int64), prints)
+        trim()
 
     return run
 
