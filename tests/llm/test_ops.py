@@ -547,3 +547,20 @@ def test_splitting_tree_deals_exact_quotas(spark):
 def test_sha_of_kept_text_matches_the_contract(spark, docs):
     out = substring_dedup.dedup_substrings(docs).select("kept_text", F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).collect()
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.h for r in out)
+
+
+def test_substring_dedup_runs_one_python_worker_a_task(spark, docs):
+    stages = []
+
+    def most(plan):
+        """Python steps on one way through a stage."""
+        if "AdaptiveSparkPlan" in plan.getClass().getName():
+            return most(plan.initialPlan())
+        if "Exchange" in plan.getClass().getName():
+            stages.append(most(plan.child()))
+            return 0
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+        return max((most(p) for p in below), default=0) + ("Arrow" in plan.nodeName())
+
+    stages.append(most(substring_dedup.dedup_substrings(docs)._jdf.queryExecution().executedPlan()))
+    assert max(stages) == 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenhash
-from .common import width
+from .common import trim, width
 
 _DEALT = "bucket int, later boolean, ids array<long>, tags array<short>, hashes array<long>"
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
@@ -105,6 +105,7 @@ def _deal(size: int, buckets: int, most: int):
             hash_words()
         if hashes:
             yield from flush()
+        trim()
 
     return run
 
@@ -119,15 +120,16 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 512)
             bodies = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["doc_id", "tag", "body"])
+    trim()
 
 
-def _strip(size: int):
+def _strip(size: int, squeezed: bool = True):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        loose = zstandard.ZstdDecompressor().decompress
+        loose = zstandard.ZstdDecompressor().decompress if squeezed else lambda text: text.encode("utf-8", "surrogatepass")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), {k: [] for k in schema.names}
@@ -147,6 +149,7 @@ def _strip(size: int):
                     for name, value in zip(schema.names, (doc, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass"), [{"start": s, "end": e} for s, e in cuts])):
                         out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
+        trim()
 
     return run
 
@@ -175,7 +178,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("doc_id", F.shiftright(F.xxhash64("text"), 48).cast("short").alias("tag"), "text")
     known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     found = flags(rows.where(known), window, combine).groupBy("doc_id", "tag").agg(F.collect_list("hash").alias("flags"))
-    bodies = lambda which: rows.where(which).mapInArrow(_squeezed, "doc_id long, tag short, body binary")
-    some = bodies(known).join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "flags")
-    rest = bodies(~known).select("doc_id", "body", F.lit(None).cast("array<long>").alias("flags"))
-    return some.unionByName(rest).mapInArrow(_strip(window), _OUT)
+    bodies = rows.where(known).mapInArrow(_squeezed, "doc_id long, tag short, body binary")
+    some = bodies.join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "flags")
+    # what is not shuffled is not compressed: a task runs one Python worker at a time
+    rest = rows.where(~known).select("doc_id", "text", F.lit(None).cast("array<long>").alias("flags"))
+    return some.mapInArrow(_strip(window), _OUT).unionByName(rest.mapInArrow(_strip(window, squeezed=False), _OUT))
