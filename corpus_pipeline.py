@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, mixing, near_copies, packing, pii, queries
-from weftline.llm.common import among, materialise, standing, sweep
+from weftline.llm.common import among, batches_of, materialise, standing, sweep
 
 #: Least mean probability of the predicted language: below, a document counts as of no known language.
 SURE = 0.4
@@ -30,7 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     columns = docs.columns
     boxed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in columns)))
     found = language_id.predict(boxed, net, carry=["_row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("_row.*")
+    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("_row.*")
+    with batches_of(spark, 512):
+        return materialise(sure, "identified")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

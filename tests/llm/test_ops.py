@@ -564,3 +564,32 @@ def test_substring_dedup_runs_one_python_worker_a_task(spark, docs):
 
     stages.append(most(substring_dedup.dedup_substrings(docs)._jdf.queryExecution().executedPlan()))
     assert max(stages) == 1
+
+
+def test_language_id_holds_little_more_than_the_states():
+    import tracemalloc
+
+    net = language_id.Network([f"l{k}" for k in range(8)])
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 4000, np.uint8).tobytes() for _ in range(100)] + [b"ab"]
+    tracemalloc.start()
+    got = net.documents(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 2 * (language_id.CORE + 2 * language_id.EDGE) * 1024 * language_id.HIDDEN * 4
+    assert np.allclose(got.sum(axis=1), 1, atol=1e-5)
+    # one window: the mean of its probabilities
+    p = net.probabilities(net.states(np.frombuffer(b"ab", np.uint8)[:, None]))
+    assert np.allclose(got[-1], p[:, 0].mean(axis=0), atol=1e-6)
+
+
+def test_packing_leaves_no_encoder_in_a_worker():
+    import gc
+
+    import pyarrow as pa
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    run = packing._cut(public_tokenizers.path("byte_bpe_50k.json"), 2048, False, False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 1
+    assert not [x for x in gc.get_objects() if isinstance(x, packing.WordEncoder)]

@@ -22,6 +22,8 @@ from .common import trim
 HIDDEN = 8
 #: Bytes labelled in a window, and bytes read before and after them.
 CORE, EDGE = 480, 16
+#: Places whose probabilities are held at a time.
+STRIP = 16
 #: Bound of the labelled sample: documents, windows of each, bytes of a window.
 SAMPLE, WINDOWS, SPAN = 3000, 4, 96
 _LETTER = regex.compile(r"\p{L}").search
@@ -138,10 +140,14 @@ class Network:
             grid = np.zeros((len(own), int(n.max())), np.uint8)
             for row, (k, s, e, _, _) in zip(grid, own):
                 row[: e - s] = np.frombuffer(texts[k], np.uint8, e - s, s)
-            p = self.probabilities(self.states(np.ascontiguousarray(grid.T), n))
-            place = np.arange(p.shape[0])[:, None]
-            inner = (place >= [a - s for _, s, _, a, _ in own]) & (place < [e - s for _, s, _, _, e in own])
-            np.add.at(total, [k for k, *_ in own], (p * inner[..., None]).sum(axis=0, dtype=np.float64))
+            states = self.states(np.ascontiguousarray(grid.T), n)
+            first, last = (np.array(c) for c in zip(*((a - s, e - s) for _, s, _, a, e in own)))
+            sums = np.zeros((len(own), total.shape[1]))
+            # of few places at a time, as probabilities and what they are made of take several times the states
+            for low in range(0, states.shape[1], STRIP):
+                for place, p in enumerate(self.probabilities(states[:, low : low + STRIP]), low):
+                    sums += p * ((place >= first) & (place < last))[:, None]
+            np.add.at(total, [k for k, *_ in own], sums)
         return total / np.maximum(1, [len(t) for t in texts])[:, None]
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, discard, materialise, running, trim, width
@@ -163,16 +163,11 @@ class WordEncoder:
             yield np.frombuffer(b"".join(map(of, own)), np.uint32)
 
 
-_encoders: dict[tuple[str, bool, int], WordEncoder] = {}
-
-
 def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool, rows: int = SLICE, most: int = WORDS):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, ordinary, most) not in _encoders:
-            _encoders[path, ordinary, most] = WordEncoder(path, ordinary, most)
-        encoder = _encoders[path, ordinary, most]
+        encoder = WordEncoder(path, ordinary, most)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part, out = batch.slice(at, rows), {k: [] for k in schema.names}
@@ -192,6 +187,9 @@ def _cut(path: str, capacity: int, keep_ids: bool, ordinary: bool, rows: int = S
                         out = {k: [] for k in schema.names}
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
                 trim()
+        # the worker lives on, and serves other operators
+        del encoder
+        trim()
 
     return run
 
@@ -294,6 +292,13 @@ def _settle(ranges: list[dict], capacity: int) -> tuple[list[tuple], list[tuple]
     return deals, [(r["range"], used.get(r["range"], 0), seeds[r["range"]]) for r in ranges if r["pieces"]], placed + opened
 
 
+def _table(spark: SparkSession, rows: list[tuple], **columns: str) -> DataFrame:
+    """A table of some rows of integers, by Arrow: rows that are pickled would start Python workers of another kind on the executors."""
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    arrays = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)), ", ".join(f"{c} {kind}" for c, kind in columns.items()))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``uid, home, at`` for ``uid, length`` (unique ids, lengths from 1 to capacity): the sequence of each piece and its offset there."""
     spark = pieces.sparkSession
@@ -315,7 +320,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             taken[gap_range] = first + -(-n // each)
         opens = {r: (used, seeds) for r, used, seeds in opens}
         plan = [(r["range"], *opens.get(r["range"], (0, 0)), taken.get(r["range"], 0)) for r in ranges]
-        plan = F.broadcast(spark.createDataFrame(plan, "range int, used long, seeds long, taken long"))  # plan and deals: a few rows for each partition
+        plan = F.broadcast(_table(spark, plan, range="int", used="long", seeds="long", taken="long"))  # plan and deals: a few rows for each partition
         swept_on = swept.where(~is_("S")).join(plan, "range")
         none = F.lit(None).cast("long")
         item = lambda tag, key, size, home=none, at=none: F.struct(F.lit(tag).alias("tag"), F.col(key).alias("id"), size.alias("size"), home.alias("home"), at.alias("at"))
@@ -329,7 +334,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         )
         after = swept_on.where(~dealt_out).select(F.inline(items))
         if deals:
-            dealt = spark.createDataFrame(deals, "gap_range int, first_gap long, range int, first long, n long, each long")
+            dealt = _table(spark, deals, gap_range="int", first_gap="long", range="int", first="long", n="long", each="long")
             chosen = swept_on.where(is_("I") & dealt_out).join(F.broadcast(dealt), "range").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
             gap_rank = (F.col("first_gap") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long")
             chosen = chosen.select("gap_range", gap_rank.alias("gap_rank"), F.struct("rank", "id", "size").alias("piece"), none.alias("bin"), none.alias("room"))
